@@ -130,10 +130,12 @@ e_{k} AS MATERIALIZED (
   UNION ALL SELECT g, 'Value', 'Volume', va, aa FROM p_{k}
   UNION ALL SELECT g, 'Volume', 'Value', (va - fv * fa) / (1 - fv * fv), vv FROM p_{k}
   UNION ALL SELECT g, 'Frequency', 'Value', (fa - fv * va) / (1 - fv * fv), ff FROM p_{k}),
+d_{k} AS MATERIALIZED (
+  SELECT l.g, l.i, own.lv AS t, l.lv AS s, l.v FROM load_{k} l JOIN w_{k} own ON own.g = l.g AND own.i = l.i),
 u_{k} AS MATERIALIZED (
-  SELECT l.g, l.i, blk.lv, sum(e.e * l.v / sqrt(e.ss)) AS w
-  FROM load_{k} l JOIN blk ON blk.i = l.i JOIN e_{k} e ON e.g = l.g AND e.t = blk.lv AND e.s = l.lv
-  GROUP BY l.g, l.i, blk.lv),
+  SELECT d.g, d.i, d.t AS lv, sum(e.e * d.v / sqrt(e.ss)) AS w
+  FROM d_{k} d JOIN e_{k} e ON e.g = d.g AND e.t = d.t AND e.s = d.s
+  GROUP BY d.g, d.i, d.t),
 w_{k + 1} AS MATERIALIZED (
   SELECT u.g, u.i, u.lv, u.w / sqrt(z.ss) AS w FROM u_{k} u
   JOIN (SELECT g, lv, sum(w * w) AS ss FROM u_{k} GROUP BY g, lv) z ON z.g = u.g AND z.lv = u.lv)""")
@@ -216,11 +218,12 @@ ov AS MATERIALIZED (
 phi AS MATERIALIZED (
   SELECT c.g, c.s, c.t, c.v / sqrt(a.v * b.v) AS v FROM c_end c
   JOIN c_end a ON a.g = c.g AND a.s = c.s AND a.t = c.s JOIN c_end b ON b.g = c.g AND b.s = c.t AND b.t = c.t),
+lp AS MATERIALIZED (
+  SELECT a.g, a.i, b.i AS j, a.lv AS s, b.lv AS t, a.v * b.v AS v FROM own_load a JOIN own_load b ON b.g = a.g AND b.i <> a.i),
+imp AS MATERIALIZED (
+  SELECT lp.g, lp.i, lp.j, lp.v * phi.v AS v FROM lp JOIN phi ON phi.g = lp.g AND phi.s = lp.s AND phi.t = lp.t),
 misfit AS MATERIALIZED (
-  SELECT r.g, sum(power(r.v - li.v * phi.v * lj.v, 2)) AS d FROM r
-  JOIN blk bi ON bi.i = r.i JOIN blk bj ON bj.i = r.j AND bj.pos > bi.pos
-  JOIN own_load li ON li.g = r.g AND li.i = r.i JOIN own_load lj ON lj.g = r.g AND lj.i = r.j
-  JOIN phi ON phi.g = r.g AND phi.s = bi.lv AND phi.t = bj.lv GROUP BY r.g),
+  SELECT r.g, sum(power(r.v - imp.v, 2)) / 2 AS d FROM r JOIN imp ON imp.g = r.g AND imp.i = r.i AND imp.j = r.j GROUP BY r.g),
 metrics AS MATERIALIZED ({" UNION ALL ".join(rows)})"""
 
 

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -52,7 +53,10 @@ def main() -> int:
             continue
         start = time.time()
         try:
+            alarm = threading.Timer(40, con.interrupt)
+            alarm.start()
             want = con.sql(catalogue.ORACLES[name]).df()
+            alarm.cancel()
         except Exception as e:  # noqa: BLE001
             print(f"SQL  {name}: {str(e)[:600]}", flush=True)
             bad += 1
