@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STD = NormalDist()
 
@@ -69,7 +70,7 @@ def student_sf(t, df) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(student_sf(t.astype(float).to_numpy(), df.astype(float).to_numpy()))
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pathgram.plans import model_queries  # noqa: F401
+from pathgram.plans import data_queries, model_queries  # noqa: F401
 from pathgram.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
