@@ -40,7 +40,7 @@ def assign_folds(df: DataFrame, case_id: str, folds: int = 10, repetitions: int
         [(r, [(int(a), int(b)) for a, b in cuts[r]]) for r in range(repetitions)],
         "repetition long, cuts array<struct<lane: long, case: long>>",
     )
-    numbered = df.select(col(case_id).cast("long").alias("case_id"), F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).cast("long").alias("repetition"))
+    numbered = df.select(col(case_id).cast("long").alias("case_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repetitions - 1).cast("long"))).alias("repetition"))
     here = F.struct(lane(F.col("case_id"), F.col("repetition"), seed).alias("lane"), F.col("case_id").alias("case"))
     passed = F.size(F.filter("cuts", lambda c: c < here))
     return numbered.join(F.broadcast(table), "repetition").select("case_id", "repetition", (passed + 1).cast("long").alias("fold"))

@@ -87,9 +87,9 @@ dev AS MATERIALIZED (SELECT g, rid, w, i, x - m AS d FROM long JOIN cen USING (g
 cross_sum AS MATERIALIZED (
   SELECT a.g, a.i AS i, b.i AS j, sum(a.w * a.d * b.d) AS s
   FROM dev a JOIN dev b ON a.g = b.g AND a.rid = b.rid GROUP BY a.g, a.i, b.i),
-mom AS MATERIALIZED (
-  SELECT c.g, c.i, c.m, sqrt(s.s / (n - 1)) AS sd
-  FROM cen c JOIN cross_sum s ON c.g = s.g AND c.i = s.i AND s.j = s.i JOIN size ON size.g = c.g),
+own_ss AS MATERIALIZED (SELECT g, i, s FROM cross_sum WHERE i = j),
+own_sd AS MATERIALIZED (SELECT own_ss.g, own_ss.i, sqrt(s / (n - 1)) AS sd FROM own_ss JOIN size ON size.g = own_ss.g),
+mom AS MATERIALIZED (SELECT cen.g, cen.i, cen.m, own_sd.sd FROM cen JOIN own_sd ON own_sd.g = cen.g AND own_sd.i = cen.i),
 r AS MATERIALIZED (
   SELECT c.g, c.i, c.j, c.s / sqrt(a.s * b.s) AS v FROM cross_sum c
   JOIN cross_sum a ON a.g = c.g AND a.i = c.i AND a.j = c.i

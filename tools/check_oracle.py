@@ -53,7 +53,7 @@ def main() -> int:
             continue
         start = time.time()
         try:
-            alarm = threading.Timer(40, con.interrupt)
+            alarm = threading.Timer(12, con.interrupt)
             alarm.start()
             want = con.sql(catalogue.ORACLES[name]).df()
             alarm.cancel()
