@@ -69,14 +69,14 @@ def shapley(df: DataFrame, features: Sequence[str], predictor: Predictor, case_i
     size = len(rows)
     base = F.array(*[F.struct(*[F.lit(float(v)).alias(f"b{k}") for k, v in enumerate(r)]) for r in rows])
     wide = (
-        df.select(col(case_id).alias("case_id"), *[col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)])
+        df.select(col(case_id).alias("case_id"), *[col(f).cast("double").alias(f"_x{k}") for k, f in enumerate(features)])
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))
         .withColumn("base", F.explode(base))
     )
     mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("slot") + 1)
     mixed = wide.select(
-        "case_id", "slot", *[f"x{k}" for k in range(len(features))],
-        *[F.when(mask.bitwiseAND(1 << k) != 0, F.col(f"x{k}")).otherwise(F.col(f"base.b{k}")).alias(f)
+        "case_id", "slot", *[f"_x{k}" for k in range(len(features))],
+        *[F.when(mask.bitwiseAND(1 << k) != 0, F.col(f"_x{k}")).otherwise(F.col(f"base.b{k}")).alias(f)
           for k, f in enumerate(features)],
     )
     full, empty = masks.index((1 << len(features)) - 1), masks.index(0)
@@ -89,12 +89,12 @@ def shapley(df: DataFrame, features: Sequence[str], predictor: Predictor, case_i
 
     sums = scored.groupBy("case_id").agg(
         *[weighted(k).alias(f"phi{k}") for k in range(len(features))],
-        *[F.first(f"x{k}").alias(f"x{k}") for k in range(len(features))],
+        *[F.first(f"_x{k}").alias(f"_x{k}") for k in range(len(features))],
         F.sum(F.when(F.col("slot") == full, value)).alias("prediction"),
         F.sum(F.when(F.col("slot") == empty, value)).alias("baseline"),
     )
     cells = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f"x{k}").alias("value"), F.col(f"phi{k}").alias("phi"))
+        F.struct(F.lit(f).alias("feature"), F.col(f"_x{k}").alias("value"), F.col(f"phi{k}").alias("phi"))
         for k, f in enumerate(features)
     ])
     return sums.select("case_id", "prediction", "baseline", F.inline(cells))

@@ -13,7 +13,7 @@ from pathgram.functions.columns import to_number
 from pathgram.spec import clean_name
 
 DELIMITERS = (",", ";", "\t", "|")
-FALLBACK_ENCODING = "windows-1252"
+FALLBACK_ENCODING = "ISO-8859-1"
 
 
 def unique_names(headers: Iterable[object]) -> tuple[list[str], list[str]]:
