@@ -17,14 +17,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathgram.functions.hashing import PRIME, lane_array
-from pathgram.operators.moments import CELLS_PER_STEP, spread
+from pathgram.functions.layout import spread
 
 STANDARD_ERRORS = 8.0
+CELLS_PER_STEP = 4_000_000  # cases x replicates worked on at once inside a task
 
 
 def rank_cuts(df: DataFrame, case_id: str, rows: int, replicates: int, ranks: Sequence[int], seed: int) -> np.ndarray:
     """Array [replicate, rank, (hash, case)] of the ``rank``-th smallest (hash, case) per replicate."""
-    source = spread(df.select(F.col(f"`{case_id}`").cast("long").alias("case_id")))
+    source = spread(df.select(F.col(f"`{case_id}`").cast("long").alias("case_id")), gather=True)
     targets = [int(k) for k in ranks]
     found = np.full((replicates, len(targets), 2), -1, dtype=np.int64)
     reach = STANDARD_ERRORS

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathgram.functions.columns import col
+from pathgram.functions.layout import spread
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 10_000
@@ -76,6 +77,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     columns = list(columns)
     if not columns:
         return {}
+    df = spread(df.select(*[col(c) for c in columns]))
     first = df.agg(*[f(col(c)).alias(f"{n}{k}") for k, c in enumerate(columns)
                      for n, f in (("n", F.count), ("l", F.min), ("h", F.max))]).first()
     sizes = {c: first[f"n{k}"] for k, c in enumerate(columns)}
@@ -89,10 +91,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     for k, c in enumerate(columns):
         if sizes[c] > bracket_rows:
             for p in probabilities:
-                h = (sizes[c] - 1) * p
-                for rank in (math.floor(h), math.ceil(h)):
-                    # low, high, values below, values inside
-                    wanted[c, rank] = [first[f"l{k}"], first[f"h{k}"], 0, sizes[c]]
+                # low, high, values below, values inside
+                wanted[c, math.floor((sizes[c] - 1) * p)] = [first[f"l{k}"], first[f"h{k}"], 0, sizes[c]]
     found: dict[tuple[str, int], float] = {}
 
     def inside(c, low, high):
@@ -142,12 +142,18 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
             for k, (c, rank) in enumerate(rest)
         ]).first()
         found.update({key: row[k] for k, key in enumerate(rest)})
-    for c in columns:
-        if sizes[c] > bracket_rows:
-            for at, p in enumerate(probabilities):
-                h = (sizes[c] - 1) * p
-                a, b = found[c, math.floor(h)], found[c, math.ceil(h)]
-                out[c][at] = a + (b - a) * (h - math.floor(h))
+    if found:
+        # The neighbour above each found value, for interpolation.
+        keys = list(found)
+        row = df.agg(*[e.alias(f"{n}{k}") for k, (c, rank) in enumerate(keys) for n, e in (
+            ("u", F.count_if(col(c) <= found[c, rank])), ("s", F.min(F.when(col(c) > found[c, rank], col(c)))))]).first()
+        after = {key: found[key] if row[f"u{k}"] > key[1] + 1 else row[f"s{k}"] for k, key in enumerate(keys)}
+        for c in columns:
+            if sizes[c] > bracket_rows:
+                for at, p in enumerate(probabilities):
+                    h = (sizes[c] - 1) * p
+                    a, share = found[c, math.floor(h)], h - math.floor(h)
+                    out[c][at] = a + (after[c, math.floor(h)] - a) * share if share else a
     return out
 
 

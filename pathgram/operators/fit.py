@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathgram.functions.columns import col
+from pathgram.functions.layout import small_side
 from pathgram.operators.algebra import (
     Weights, equal_weights, estimate_weights, measurement_rows, structural_rows,
 )
-from pathgram.operators.moments import Moments, from_rows, merge_by, moment_parts, unpack
+from pathgram.operators.moments import Moments, from_rows, merge_by, moment_parts, moments, unpack
 from pathgram.operators.prepare import prepare
 from pathgram.spec import FitSettings, ModelError, ModelSpec
 
@@ -27,7 +28,6 @@ METRIC_FIELDS = [
     T.StructField("value", T.DoubleType()),
 ]
 METRIC_SCHEMA = T.StructType(METRIC_FIELDS)
-BROADCAST_MODELS = 10_000
 
 
 def guard(m: Moments, spec: ModelSpec) -> None:
@@ -144,11 +144,10 @@ def fit_model(df: DataFrame, spec: ModelSpec, settings: FitSettings = FitSetting
 
 def collect_moments(table: DataFrame, columns: Sequence[str]) -> Moments | None:
     """Merge in Spark, bring one p x p row to the driver."""
-    from pathgram.operators.moments import moments
-
-    row = moments(table, columns).first()
-    if row is None:
+    found = moments(table, columns).collect()  # one row, or none without complete cases
+    if not found:
         return None
+    row = found[0]
     p = len(columns)
     return Moments(row["n"], np.array(row["mean"]), unpack(np.array(row["scatter"]), p),
                    np.array(row["low"]), np.array(row["high"]))
@@ -189,10 +188,7 @@ def fit_by(df: DataFrame, spec: ModelSpec, keys: Sequence[str], settings: FitSet
         slope = estimate_weights(m.correlation(), spec, settings).unit / m.sd()[:, None]
         return pd.DataFrame([{**dict(zip(keys, key)), "offset": -(m.mean @ slope), "slope": slope.ravel()}])
 
-    weights = merge_by(parts, keys, stage_one, weight_schema)
-    if weights.count() <= BROADCAST_MODELS:
-        weights = F.broadcast(weights)
-    scored = table.join(weights, keys)
+    scored = table.join(small_side(merge_by(parts, keys, stage_one, weight_schema)), keys)
     size = len(names)
     columns = []
     for lv, (name, block) in enumerate(zip(names, spec.blocks())):

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathgram.functions.layout import fewer_tasks, spread
+
 CELLS_PER_STEP = 4_000_000  # rows x replicates worked on at once inside a task
 CELLS_PER_TASK = 32_000_000  # accumulator cells (256 MB) a task may hold
 
@@ -99,11 +101,6 @@ def _double(name: str):
     return F.col(f"`{name}`").cast("double").alias(name)
 
 
-def fewer_tasks(df: DataFrame) -> DataFrame:
-    """Let one task read several splits, so partial results stay a few per core."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def moment_parts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Partial moments per (task, key). Rows with a missing value must be gone already."""
     keys, columns = list(keys), list(columns)
@@ -235,12 +232,6 @@ Weigher = Callable[[np.ndarray, np.ndarray], np.ndarray]
 REPLICATE_FIELDS = [T.StructField("replicate", T.LongType())] + MOMENT_FIELDS
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table has fewer splits than cores; else leave it alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else fewer_tasks(df)
-
-
 def replicated_parts(
     df: DataFrame,
     case_id: str,
@@ -265,7 +256,7 @@ def replicated_parts(
         slices = [(s, min(s + per_scan, replicates)) for s in range(0, replicates, per_scan)]
     else:
         slices = [(0, replicates)]
-    source = spread(df.select(F.col(f"`{case_id}`").cast("long").alias("case_id"), *[_double(c) for c in columns]))
+    source = spread(df.select(F.col(f"`{case_id}`").cast("long").alias("case_id"), *[_double(c) for c in columns]), gather=True)
     schema = T.StructType(REPLICATE_FIELDS)
 
     def job(first: int, last: int):

@@ -20,9 +20,10 @@ from pyspark.sql import types as T
 from pathgram.functions.columns import col
 from pathgram.functions.cuts import fold_numbers, fold_sizes, rank_cuts
 from pathgram.functions.hashing import lane, lane_array
+from pathgram.functions.layout import spread
 from pathgram.functions.ordering import exact_quantiles
 from pathgram.operators.algebra import estimate_weights, path_matrix, solve
-from pathgram.operators.moments import Moments, combine, from_rows, merge_by, replicated_parts, spread
+from pathgram.operators.moments import Moments, combine, from_rows, merge_by, replicated_parts
 from pathgram.operators.prepare import prepare
 from pathgram.operators.profile import basic_stats
 from pathgram.spec import FitSettings, ModelError, ModelSpec

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathgram.functions.columns import col, is_numeric, numeric, resolve
 from pathgram.functions.hashing import uniform
+from pathgram.functions.layout import small_side
 from pathgram.spec import ModelError
 
 MIN_GROUP = 10
@@ -49,7 +50,7 @@ def impute_means(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
         fill = {c: m for c, m in zip(columns, means) if m is not None}
         return drop_incomplete(df.fillna(fill), columns)
     means = df.groupBy(*keys).agg(*[F.avg(col(c)).alias(f"_m{k}") for k, c in enumerate(columns)])
-    filled = df.join(means, keys).select(
+    filled = df.join(small_side(means), keys).select(
         *[c for c in df.columns if c not in columns],
         *[F.coalesce(col(c), F.col(f"_m{k}")).alias(c) for k, c in enumerate(columns)],
     )

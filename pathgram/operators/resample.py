@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pathgram.functions.columns import col
 from pathgram.functions.distributions import student_tail
 from pathgram.functions.hashing import poisson_array
+from pathgram.functions.layout import small_side
 from pathgram.operators.algebra import equal_weights, estimate_weights
 from pathgram.operators.fit import METRIC_FIELDS, model_rows, rows_frame, usable
 from pathgram.operators.metrics import SECTIONS, flat, reportable
@@ -208,7 +209,7 @@ def histogram(samples: DataFrame, keys: list[str], value: str = "value", bins: i
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.least(F.floor((col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
     return (
-        samples.join(ends, keys).withColumn("bin", place)
+        samples.join(small_side(ends), keys).withColumn("bin", place)
         .groupBy(*keys, "bin").agg(F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.count(F.lit(1)).alias("count"))
         .select(*keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("low"),
                 (F.col("_lo") + (F.col("bin") + 1) * width).alias("high"), "count")

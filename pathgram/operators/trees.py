@@ -11,11 +11,11 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pathgram.functions.columns import col
 from pathgram.functions.hashing import lane
 from pathgram.operators.prepare import feature_target, train_test
+from pathgram.session import scratch_root
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -75,6 +75,7 @@ def train_trees(df: DataFrame, features: Sequence[str], target: str, case_id: st
     """Fit on the training part; every grid point is cross-validated on key-hashed folds, best by R squared."""
     features = list(features)
     spark = df.sparkSession
+    scratch_root(spark)  # MLlib checkpoints its boosting rounds there
     table = feature_target(df, features, target, [case_id])
     table = assembled(train_test(table, case_id, test_share, seed), features)
     table = table.withColumn("fold", (lane(col(case_id), 1, seed) % folds).cast("int"))

@@ -61,12 +61,12 @@ query("e25_total_effects", S.metric_sql(["total", "total_indirect"]))(picked("to
 query("e26_specific_indirect", S.metric_sql(["specific"]))(picked("specific"))
 
 
-@query("e03_factor_scheme")
+@query("e03_factor_scheme", S.metric_sql(["weight"], scheme="factor"))
 def factor_scheme(spark, sf):
     return rounded(single(spark, sf, settings=replace(TIGHT, scheme="factor")).metrics().filter("metric = 'weight'"))
 
 
-@query("e04_centroid_scheme")
+@query("e04_centroid_scheme", S.metric_sql(["weight"], scheme="centroid"))
 def centroid_scheme(spark, sf):
     return rounded(single(spark, sf, settings=replace(TIGHT, scheme="centroid")).metrics().filter("metric = 'weight'"))
 

@@ -117,19 +117,28 @@ p_{k} AS MATERIALIZED (
   FROM q_{k})"""
 
 
-def weight_ctes(steps: int = 8) -> str:
-    """w_last(g, i, lv, w): unit-norm weights, path scheme, reflective blocks."""
+SCHEMES = {
+    "path": ("{c}", "(va - fv * fa) / (1 - fv * fv)", "(fa - fv * va) / (1 - fv * fv)"),
+    "factor": ("{c}", "va", "fa"),
+    "centroid": ("sign({c})", "sign(va)", "sign(fa)"),
+}
+
+
+def weight_ctes(steps: int = 8, scheme: str = "path") -> str:
+    """w_last(g, i, lv, w): unit-norm weights of reflective blocks."""
+    link, to_value, past = SCHEMES[scheme]
+    fv, fa, va = (link.format(c=c) for c in ("fv", "fa", "va"))
     out = ["w_0 AS MATERIALIZED (SELECT g, i, lv, 1 / sqrt(3.0) AS w FROM size, blk)"]
     for k in range(steps):
         out.append(_composite_step(str(k), f"w_{k}"))
         out.append(f"""
 e_{k} AS MATERIALIZED (
-  SELECT g, 'Volume' AS s, 'Frequency' AS t, fv AS e, vv AS ss FROM p_{k}
-  UNION ALL SELECT g, 'Value', 'Frequency', fa, aa FROM p_{k}
-  UNION ALL SELECT g, 'Frequency', 'Volume', fv, ff FROM p_{k}
-  UNION ALL SELECT g, 'Value', 'Volume', va, aa FROM p_{k}
-  UNION ALL SELECT g, 'Volume', 'Value', (va - fv * fa) / (1 - fv * fv), vv FROM p_{k}
-  UNION ALL SELECT g, 'Frequency', 'Value', (fa - fv * va) / (1 - fv * fv), ff FROM p_{k}),
+  SELECT g, 'Volume' AS s, 'Frequency' AS t, {fv} AS e, vv AS ss FROM p_{k}
+  UNION ALL SELECT g, 'Value', 'Frequency', {fa}, aa FROM p_{k}
+  UNION ALL SELECT g, 'Frequency', 'Volume', {fv}, ff FROM p_{k}
+  UNION ALL SELECT g, 'Value', 'Volume', {va}, aa FROM p_{k}
+  UNION ALL SELECT g, 'Volume', 'Value', {to_value}, vv FROM p_{k}
+  UNION ALL SELECT g, 'Frequency', 'Value', {past}, ff FROM p_{k}),
 d_{k} AS MATERIALIZED (
   SELECT l.g, l.i, own.lv AS t, l.lv AS s, l.v FROM load_{k} l JOIN w_{k} own ON own.g = l.g AND own.i = l.i),
 u_{k} AS MATERIALIZED (
@@ -231,18 +240,19 @@ SINGLE_SRC = "SELECT 0 AS g, case_id AS rid, 1.0 AS w, " + ", ".join(ITEMS) + "
 GROUP_SRC = "SELECT segment AS g, case_id AS rid, 1.0 AS w, " + ", ".join(ITEMS) + " FROM complete"
 
 
-def model_sql(final: str, src: str = SINGLE_SRC, equal: bool = False, extra: str = "", before: str = "") -> str:
-    weights = EQUAL_CTES if equal else weight_ctes()
+def model_sql(final: str, src: str = SINGLE_SRC, equal: bool = False, extra: str = "", before: str = "",
+              scheme: str = "path") -> str:
+    weights = EQUAL_CTES if equal else weight_ctes(scheme=scheme)
     return (
         f"WITH {FX}, {COMPLETE}{before},{correlation_ctes(src)},{weights},{result_ctes()}"
         f"{',' + extra if extra else ''} {final}"
     )
 
 
-def metric_sql(metrics: list[str], src: str = SINGLE_SRC, key: str = "", equal: bool = False) -> str:
+def metric_sql(metrics: list[str], src: str = SINGLE_SRC, key: str = "", equal: bool = False, scheme: str = "path") -> str:
     wanted = ", ".join(f"'{m}'" for m in metrics)
     head = f"g AS {key}, " if key else ""
     return model_sql(
         f"SELECT {head}metric, source, target, label, round(value, 6) + 0.0 AS value FROM metrics "
-        f"WHERE metric IN ({wanted})", src, equal,
+        f"WHERE metric IN ({wanted})", src, equal, scheme=scheme,
     )
