@@ -61,7 +61,11 @@ def prepare(df: DataFrame, columns: Sequence[str], missing: str = "casewise", ke
             keys: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """The analysis table of a model and its warnings."""
     keep = list(dict.fromkeys([*keys, *keep]))
-    table = coerce(select_columns(df, columns, keep), list(columns), keep)
+    table = select_columns(df, columns, keep)
+    if missing != "mean":
+        for c in columns:  # implied by the deletion below, but plain enough to reach the scan
+            table = table.filter(col(c).isNotNull())
+    table = coerce(table, list(columns), keep)
     if missing == "mean":
         return impute_means(table, columns, keys), []
     notes = ["pairwise_as_casewise"] if missing == "pairwise" else []

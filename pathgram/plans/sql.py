@@ -241,8 +241,8 @@ GROUP_SRC = "SELECT segment AS g, case_id AS rid, 1.0 AS w, " + ", ".join(ITEMS)
 
 
 def model_sql(final: str, src: str = SINGLE_SRC, equal: bool = False, extra: str = "", before: str = "",
-              scheme: str = "path") -> str:
-    weights = EQUAL_CTES if equal else weight_ctes(scheme=scheme)
+              scheme: str = "path", steps: int = 8) -> str:
+    weights = EQUAL_CTES if equal else weight_ctes(steps, scheme)
     return (
         f"WITH {FX}, {COMPLETE}{before},{correlation_ctes(src)},{weights},{result_ctes()}"
         f"{',' + extra if extra else ''} {final}"
