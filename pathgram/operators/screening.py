@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from pathgram.functions.columns import col, long_form, numeric
 from pathgram.functions.distributions import kolmogorov_tail, normal_cdf, shapiro_wilk
-from pathgram.functions.ordering import running_total
+from pathgram.functions.ordering import ROWS_PER_BUCKET, running_total
 from pathgram.operators.profile import column_stats
 
 # Screening thresholds.
@@ -160,13 +160,31 @@ def ks_distance(df: DataFrame, column: str, mean: float, sd: float, n: int) -> D
     )
 
 
+def ks_distances(df: DataFrame, rows) -> dict[str, float]:
+    """Distances of several columns: one job while a column fits a single value range, else one job per column."""
+    short = [r for r in rows if r["n"] <= ROWS_PER_BUCKET]
+    out = {r["variable"]: ks_distance(df, r["variable"], r["mean"], r["sd"], r["n"]).first()["d"]
+           for r in rows if r["n"] > ROWS_PER_BUCKET}
+    if short:
+        names = [r["variable"] for r in short]
+        moments = df.sparkSession.createDataFrame(
+            [(r["variable"], r["mean"], r["sd"], float(r["n"])) for r in short], "variable string, mean double, sd double, size double")
+        cells = long_form(df, names).filter(F.col("value").isNotNull()).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c"))
+        upto = W.partitionBy("variable").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+        ranked = cells.withColumn("upto", F.sum("c").over(upto)).join(F.broadcast(moments), "variable")
+        f = _cdf((F.col("value") - F.col("mean")) / F.col("sd"))
+        placed = ranked.select("variable", f.alias("f"), (F.col("upto") / F.col("size")).alias("hi"),
+                               ((F.col("upto") - F.col("c")) / F.col("size")).alias("lo"))
+        found = placed.groupBy("variable").agg(F.max(F.greatest(F.col("hi") - F.col("f"), F.col("f") - F.col("lo"))).alias("d"))
+        out |= {r["variable"]: r["d"] for r in found.collect()}
+    return out
+
+
 def ks_table(df: DataFrame, stats: DataFrame) -> DataFrame:
-    rows = []
-    for r in stats.collect():
-        if r["n"] >= 3 and r["sd"]:
-            d = ks_distance(df, r["variable"], r["mean"], r["sd"], r["n"]).first()["d"]
-            rows.append((r["variable"], float(d), ks_tail(df, float(d), r["n"])))
-    return df.sparkSession.createDataFrame(rows, "variable string, d double, p double")
+    rows = [r for r in stats.collect() if r["n"] >= 3 and r["sd"]]
+    d = ks_distances(df, rows)
+    table = [(r["variable"], float(d[r["variable"]]), ks_tail(df, float(d[r["variable"]]), r["n"])) for r in rows]
+    return df.sparkSession.createDataFrame(table, "variable string, d double, p double")
 
 
 def normality_verdict(skew: Column, kurt: Column, p: Column) -> Column:

@@ -8,9 +8,11 @@ from pathgram.operators import groups as G
 from pathgram.operators import predict as PD
 from pathgram.operators import resample as RS
 from pathgram.operators.fit import fit_model
-from pathgram.operators.metrics import flat, with_verdict
+from pathgram.operators.metrics import flat
+from pathgram.operators.prepare import group_pair, prepare
+from pathgram.operators.screening import Z_LIMIT
 from pathgram.plans import sql as S
-from pathgram.plans.fixtures import SPEC, customer_indicators, table
+from pathgram.plans.fixtures import SPEC, customer_indicators, likert_items, table
 from pathgram.plans.model_queries import INTERACTION, SQL_FLAT, TIGHT
 from pathgram.plans.registry import query, r, rounded
 from pathgram.session import materialise
@@ -360,3 +362,40 @@ def standardised_descriptives(spark, sf):
     f"SELECT name, {r('1 - sum(power(actual - predicted, 2)) / (var_pop(actual) * count(*))')} AS q2_cv FROM cs GROUP BY name"))
 def q2_cv(spark, sf):
     return rounded(PD.cross_validated_q2(PD.construct_metrics(predicted(spark, sf), SPEC)))
+
+
+# ---- joins and set operations between rows and small tables -----------------------------
+@query("i01_key_lookup", S.model_sql(
+    "SELECT m.label, blk.pos + 1 AS position, round(m.value, 6) + 0.0 AS value FROM metrics m JOIN blk ON blk.i = m.source WHERE m.metric = 'loading'"))
+def key_lookup(spark, sf):
+    """Loadings with the model position of their indicator: a join with the small model table."""
+    places = spark.createDataFrame([(i, k + 1) for k, i in enumerate(SPEC.indicators)], "source string, position long")
+    found = fit_model(cases(spark, sf), SPEC, TIGHT).metrics().filter("metric = 'loading'")
+    return rounded(found.join(F.broadcast(places), "source").select("label", "position", "value"))
+
+
+@query("i02_group_pool", f"WITH {S.FX}, {S.COMPLETE} SELECT case_id, CASE segment WHEN '{A}' THEN 'a' ELSE 'b' END AS side, n_orders "
+       f"FROM complete WHERE segment IN ('{A}', '{Z}')")
+def group_pool(spark, sf):
+    """Union of two separately prepared groups."""
+    pair = group_pair(customer_indicators(spark, sf), "segment", A, Z)
+    parts = [prepare(pair.filter(F.col("side") == s), SPEC.indicators, keep=["case_id", "side"])[0] for s in ("a", "b")]
+    return parts[0].unionByName(parts[1]).select("case_id", "side", "n_orders")
+
+
+@query("i03_training_rows", f"SELECT case_id, fold FROM ({fold_sql('orders', 'o_orderkey', 5, 1)}) WHERE fold <> 2")
+def training_rows(spark, sf):
+    """All rows but those of one fold."""
+    df = table(spark, sf, "orders").select("o_orderkey")
+    return PD.assign_folds(df, "o_orderkey", 5, 1, SEED).filter("fold <> 2").select("case_id", "fold")
+
+
+@query("i04_flag_union", f"WITH {S.FX}, {S.LIK}, st AS (SELECT avg(f1) AS m, stddev_samp(f1) AS s FROM lik) "
+       "SELECT case_id, abs(f1 - m) / s > 3.29 AS far, f1 < 1 OR f1 > 5 AS outside FROM lik, st WHERE abs(f1 - m) / s > 3.29 OR f1 < 1 OR f1 > 5")
+def flag_union(spark, sf):
+    """Cases flagged by either test."""
+    df = materialise(likert_items(customer_indicators(spark, sf)), "items")
+    row = df.agg(F.avg("f1").alias("m"), F.stddev_samp("f1").alias("s")).first()
+    far = F.abs((F.col("f1") - row["m"]) / row["s"]) > Z_LIMIT
+    outside = (F.col("f1") < 1) | (F.col("f1") > 5)
+    return df.select("case_id", far.alias("far"), outside.alias("outside")).filter("far or outside")

@@ -110,6 +110,8 @@ def test_ks_distance(spark):
     want = max((np.arange(1, n + 1) / n - f).max(), (f - np.arange(n) / n).max())
     row = screening.ks_table(df, profile.column_stats(df, ["x"], quartiles=False)).first()
     assert abs(row["d"] - want) < 1e-12 and row["p"] < 1e-6
+    long_way = screening.ks_distance(df, "x", float(x.mean()), float(x.std(ddof=1)), 800).first()["d"]
+    assert abs(long_way - want) < 1e-12
 
 
 def test_moments_by_hot_key(spark):
