@@ -15,8 +15,9 @@ import numpy as np
 
 #: Words that one worker process remembers (some 150 bytes each).
 CACHE_WORDS = 1_000_000
-# Separators that str.split() knows beyond the vocabulary's white space, or that it may treat otherwise.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+# Separators and format characters that str.split() and the vocabulary may treat differently.
+ODD_POINTS = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+ODD_SPACE = re.compile("[" + "".join(map(chr, ODD_POINTS)) + "]")
 # A run of letters that lower-case one by one, then ASCII punctuation: two pre-tokens, the second maybe empty.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 

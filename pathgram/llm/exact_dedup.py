@@ -38,8 +38,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     sized = _sized(docs, id_col, text_col)
     narrow = materialise(sized.select("len", "head"), "exact-narrow")
-    lengths = narrow.groupBy("len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len")
-    heads = narrow.join(lengths, "len", "left_semi").groupBy("len", "head").agg(F.count(F.lit(1)).alias("n"))
+    pairs = narrow.groupBy("len", "head").agg(F.count(F.lit(1)).alias("n"))
+    lengths = pairs.groupBy("len").agg(F.sum("n").alias("all")).filter("all > 1").select("len")
+    heads = pairs.join(lengths, "len", "left_semi")
     heads = materialise(heads.filter("n > 1").select(F.col("len").alias("len2"), F.col("head").alias("head2")), "exact-heads")
     open_heads = small(heads)
 

@@ -23,7 +23,7 @@ from pathgram.session import materialise
 
 WEIGHTS = (3, 1, 2)
 #: Rows of a queue that one window may hold; longer queues are split by hash range.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: int = 2) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pathgram.llm.common import load
 from pathgram.llm.exact_dedup import exact_duplicates
+from pathgram.llm.line_dedup import remove_repeated_lines
 from pathgram.llm.mixing import fair_queue
 from pathgram.llm.packing import pack_documents
+from pathgram.llm.rules import judge
 from pathgram.llm.token_files import token_table
 
 QUERIES: dict = {}
@@ -38,6 +40,61 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(load(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
 
+OP2_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i+2])) AS gram FROM w WHERE len(ws) > 2),
+m AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+p AS (SELECT r, count(DISTINCT k)::BIGINT AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM m) GROUP BY r),
+f AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             len(ls)::BIGINT AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN p USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS broken,
+             100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS strict
+      FROM f),
+h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR broken)::DOUBLE AS k FROM b GROUP BY source),
+s AS (SELECT sum(n) AS total, sum(k) AS failed, sum(k) / sum(n) AS mean, sum(n * n) AS squares, sum(k * k / n) AS scatter, count(*) AS hosts FROM h),
+v AS (SELECT *, total - squares / total - (hosts - 1) AS free, mean * (1 - mean) AS noise FROM s),
+a AS (SELECT mean, 1 / least(greatest(CASE WHEN noise > 0 AND free > 0 THEN ((scatter - mean * failed) / noise - (hosts - 1)) / free ELSE 0 END, 1e-4), 0.5) - 1 AS weight FROM v),
+z AS (SELECT h.*, (k + greatest(mean, 1e-6) * weight) / (n + (greatest(mean, 1e-6) + greatest(1 - mean, 1e-6)) * weight) AS rate FROM h, a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT CASE WHEN rate >= 0.5 THEN strict ELSE broken END AS kept,
+       n::BIGINT AS host_docs, k::BIGINT AS host_failed, round(rate, 6) AS host_rate
+FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source
+"""
+
+
+@query("op2_host_rules", OP2_SQL)
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judge(load(spark, sf_dir, "documents"), "doc_id").drop("n_lines")
+    return rows.withColumn("host_rate", F.round("host_rate", 6))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM d),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS code, length(line) >= 150 AS long FROM l),
+c AS (SELECT *, long OR coalesce(lead(long) OVER w, true) OR coalesce((code + 31 * lag(code) OVER w) % 2 = 0, false) AS ends
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM c),
+k AS (SELECT doc_id, chunk, min(i) AS first, max(i) AS last, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY doc_id, chunk),
+e AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1 AS again FROM k
+      WHERE length(body) >= 40 AND (last > first OR length(body) >= 150)),
+x AS (SELECT n.*, coalesce(again, false) AS gone FROM n LEFT JOIN e USING (doc_id, chunk))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+FROM x GROUP BY doc_id
+"""
+
+
+@query("op3_line_chunk_dedup", OP3_SQL)
+def op3_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return rows.select("doc_id", "n_lines", "n_removed", "text")
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
