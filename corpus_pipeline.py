@@ -1,8 +1,53 @@
-"""From raw documents to packed training windows: each stage calls one corpus operator."""
+"""From raw documents to packed training windows. Each stage calls one corpus operator and works on all
+that the stage before it kept; all stages but the last return the columns of ``documents``."""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
-STAGES = []
+
+from pathgram.llm.line_dedup import remove_repeated_lines
+from pathgram.llm.mixing import mix
+from pathgram.llm.ngram_join import keep_one
+from pathgram.llm.packing import pack_documents
+from pathgram.llm.queries import END_ID, vocabulary
+from pathgram.llm.rules import keep_good
+from pathgram.session import materialise
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return remove_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, vocabulary(), END_ID)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+# Similarity of shingle sets and the tokenizer are out of reach of SQL; the tests follow the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise ValueError("no stages yet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -114,5 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     served = served.withColumn("__start", F.col("__turn.start"))
     lead = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("__turn.served").cast("int")), "")
     served = served.withColumn("text", F.when(F.col("__turn.served") < F.col("__size"), lead).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        served = served.withColumn("n_chars", F.length(whole("text")).cast(docs.schema["n_chars"].dataType))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return served.repartitionByRange(parts, "__start", "doc_id").sortWithinPartitions("__start", "doc_id").select(*[F.col(f"`{c}`") for c in columns])

@@ -9,6 +9,7 @@ from pathgram.llm.common import load
 from pathgram.llm.exact_dedup import exact_duplicates
 from pathgram.llm.line_dedup import remove_repeated_lines
 from pathgram.llm.mixing import fair_queue
+from pathgram.llm.ngram_join import ngram_components
 from pathgram.llm.packing import pack_documents
 from pathgram.llm.rules import judge
 from pathgram.llm.token_files import token_table
@@ -95,6 +96,12 @@ def op3_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query("op5_signature_tree_join")
+def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngram_components(load(spark, sf_dir, "documents"), width=4, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
