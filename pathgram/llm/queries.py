@@ -11,6 +11,7 @@ from pathgram.llm.line_dedup import remove_repeated_lines
 from pathgram.llm.mixing import fair_queue
 from pathgram.llm.ngram_join import ngram_components
 from pathgram.llm.packing import pack_documents
+from pathgram.llm.pii import KINDS, find_personal_data, spelled
 from pathgram.llm.rules import judge
 from pathgram.llm.token_files import token_table
 
@@ -96,6 +97,14 @@ def op3_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query("op4_context_pii")
+def op4_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = find_personal_data(load(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    base, every = spelled(F.col("base")), spelled(F.concat("base", "added"))
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
 @query("op5_signature_tree_join")
 def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ngram_components(load(spark, sf_dir, "documents"), width=4, percent=85)
