@@ -9,6 +9,9 @@ id, then place) stays and the others are removed. Single short lines are never r
 A null text counts as empty. Rows that share id and text count as one and are treated alike. A null
 id comes before all others. A text whose lines all go becomes empty; the row stays. An empty table
 gives an empty result. Other columns pass through.
+
+Chunk keys and removals grow with the corpus, so they are never broadcast: texts are shuffled once to
+their keys and once to their removals, at every size.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathgram.llm.common import small, whole
+from pathgram.llm.common import whole
 from pathgram.session import materialise
 
 WINDOW = 2
@@ -56,8 +59,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "code", "first")
     found = chunk_rows(docs).withColumn("key", F.xxhash64("body"))
     keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("key2"))
-    keys = small(materialise(keys, "lines-keys"))
-    found = found.join(keys, F.col("key") == F.col("key2"), "left_semi")
+    keys = materialise(keys, "lines-keys")
+    found = found.join(keys.hint("merge"), F.col("key") == F.col("key2"), "left_semi")
     found = materialise(found, "lines-found")
     # Grouping by the text itself compares the bytes.
     firsts = found.groupBy("key", "body").agg(F.min(place).alias("keep")).select(F.col("key").alias("key3"), F.col("body").alias("body3"), "keep")
@@ -77,7 +80,7 @@ def remove_repeated_lines(docs: DataFrame, report: bool = False) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__code"))
     # Each line gets its place in front, so a set difference removes exactly the lines meant, in linear time.
     marked = F.transform(F.split(whole("text"), "\n", -1), lambda line, i: F.concat(F.format_string(_PLACE, i), line))
-    rows = docs.join(small(ranges, 20_000), same, "left").withColumn("__marked", marked)
+    rows = docs.join(ranges.hint("merge"), same, "left").withColumn("__marked", marked)
     # The marked lines are named several times below, so that Spark keeps them as a column of their own.
     gone = F.flatten(F.transform("__ranges", lambda r: F.slice("__marked", r["first"] + 1, r["last"] - r["first"] + 1)))
     left = F.transform(F.array_except("__marked", gone), lambda x: F.substr(x, F.lit(10)))
