@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from pathgram.llm.common import load
 from pathgram.llm.exact_dedup import exact_duplicates
+from pathgram.llm.licences import scan_licences
 from pathgram.llm.line_dedup import remove_repeated_lines
 from pathgram.llm.mixing import fair_queue
 from pathgram.llm.ngram_join import ngram_components
 from pathgram.llm.packing import pack_documents
 from pathgram.llm.pii import KINDS, find_personal_data, spelled
 from pathgram.llm.rules import judge
+from pathgram.llm.site_quality import site_quality
 from pathgram.llm.token_files import token_table
 
 QUERIES: dict = {}
@@ -111,6 +113,11 @@ def op5_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op6_licence_paragraphs")
+def op6_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(load(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
@@ -143,6 +150,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), vocabulary(), END_ID)
 
 
+@query("op9_site_quality")
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS flat FROM documents),
 h AS (SELECT doc_id, sha256(flat) AS text_sha256, min(doc_id) OVER (PARTITION BY flat) AS keep_id,
