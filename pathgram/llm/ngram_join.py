@@ -38,9 +38,10 @@ from pathgram.session import materialise
 
 WIDTH = 5
 PERCENT = 80
-#: Counters of shingle frequencies, and bits of a token bitmap (powers of two).
+#: Counters of shingle frequencies (a power of two).
 COUNTERS = 1 << 18
-BITS = 1024
+#: Bits of a token bitmap: a power of two, at least twice the size of the set, within these bounds.
+BITS = (64, 1 << 16)
 #: Classes that one tree holds, and children of a tree node.
 BLOCK = 512
 FAN = 8
@@ -59,9 +60,19 @@ def _slot(values: np.ndarray) -> np.ndarray:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(values & np.uint64(BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    """Token bitmap of a set. A bit's place is the hash modulo the width, so halves can be folded together."""
+    width = min(max(BITS[0], 1 << (2 * len(values) - 1).bit_length()), BITS[1]) if len(values) else BITS[0]
+    bits = np.zeros(width, np.uint8)
+    bits[(values & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) made narrower, to ``words`` 64-bit words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
@@ -165,22 +176,39 @@ def traverse(left: Tree, right: Tree, percent: int) -> tuple[np.ndarray, np.ndar
             i, j = i[j < len(right.levels[b][1])], j[j < len(right.levels[b][1])]
 
 
+def similar_trees(n: np.ndarray, bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of ``left``, one of ``right``) that trees cannot rule out.
+
+    Classes are put into trees by the width of their bitmaps. Sets that differ twofold in size cannot be
+    similar, so only equal and neighbouring widths meet, the wider folded.
+    """
+    width = np.array([len(b) for b in bits])
+    out_l, out_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def tree(side: np.ndarray, own: int, words: int) -> tuple[np.ndarray, Tree | None]:
+        at = side[width[side] == own]
+        at = at[np.lexsort((at, n[at]))]
+        return at, Tree(n[at], fold(np.stack([bits[k] for k in at]), words)) if len(at) else None
+
+    for own in np.unique(width[left]):
+        for other in (own // 2, own, own * 2):
+            (a, one), (b, two) = tree(left, own, min(own, other)), tree(right, other, min(own, other))
+            if one and two:
+                i, j = traverse(one, two, percent)
+                out_l.append(a[i])
+                out_r.append(b[j])
+    return np.concatenate(out_l), np.concatenate(out_r)
+
+
 def tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of blocks; rows are block, low, high (chunk pair), mine (own chunk), node, n, root, bits."""
 
     def joined(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         node, n, root, mine, low, high = (t[c].to_numpy() for c in ("node", "n", "root", "mine", "low", "high"))
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(node), -1)
-        order = np.lexsort((node, n))
-        same = low[0] == high[0]
-        sides = [order, order] if same else [order[mine[order] == low[0]], order[mine[order] == high[0]]]
-        trees = [Tree(n[s].astype(np.int64), bits[s]) for s in sides]
-        if not len(sides[0]) or not len(sides[1]):
-            i = j = np.zeros(0, np.int64)
-        else:
-            i, j = traverse(*trees, percent)
-        x, y = sides[0][i], sides[1][j]
+        bits = [np.frombuffer(b, np.uint64) for b in t["bits"].to_pylist()]
+        every, same = np.arange(len(node)), low[0] == high[0]
+        x, y = similar_trees(n.astype(np.int64), bits, every if same else every[mine == low[0]], every if same else every[mine == high[0]], percent)
         keep = (root[x] != root[y]) & ((node[x] < node[y]) if same else True)
         x, y = x[keep], y[keep]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
@@ -209,8 +237,30 @@ def tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(task, "a long, b long").distinct()
 
 
+def screen(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow; ``maps`` has node, n, bits."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch["n_a"].to_numpy().astype(np.int64), batch["n_b"].to_numpy().astype(np.int64)
+            keep = []
+            for x, y, p, q in zip(batch["bits_a"], batch["bits_b"], n_a, n_b, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                x, y = fold(x, words), fold(y, words)
+                shared = int(np.bitwise_count(x & y).sum())
+                most = min(p - int(np.bitwise_count(x).sum()), q - int(np.bitwise_count(y).sum())) + shared
+                keep.append(most * (100 + percent) >= percent * (p + q))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: maps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(task, "a long, b long")
+
+
 def confirm(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that are similar enough; sets are made anew from the texts involved."""
+    pairs = materialise(pairs, "join-candidates")
     nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "join-nodes")
     sets = materialise(_texts(docs, small(materialise(chosen.join(nodes, "node"), "join-texts"))).mapInArrow(_set_task(width), "node long, items binary"), "join-sets")
     sets = sets.dropDuplicates(["node"]) if sets.count() > nodes.count() else sets
@@ -253,27 +303,26 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     for slot, times in heavy:
         levels[slot] = times.bit_length()
 
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "code")).alias("first"), F.first("n").alias("n"))
-    classes = materialise(classes.select("node", "first.doc_id", "first.code", "n"), "join-classes")
-    chosen = classes.select("node", "doc_id", "code")
-    entries = materialise(prefixes(_texts(docs, small(chosen, CHOSEN_ROWS)), width, percent, levels.tobytes()), "join-prefixes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "code"))
+    classes = materialise(rows.filter("n > 0").groupBy("node").agg(first.alias("first")).select("node", "first.doc_id", "first.code"), "join-classes")
+    same = classes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), F.col("code").alias("__code"))
+    match = (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("code") == F.col("__code"))
+    maps = materialise(rows.join(same, match, "left_semi").dropDuplicates(["node"]).select("node", "n", "bits"), "join-maps")
+    entries = materialise(prefixes(_texts(docs, small(classes, CHOSEN_ROWS)), width, percent, levels.tobytes()), "join-prefixes")
 
-    mark = F.xxhash64("node")
-    tokens = entries.groupBy("token").agg(
-        F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("n").alias("few"), F.max("n").alias("many"),
-        F.bit_xor(mark).alias("mark"), F.bit_xor(F.xxhash64(mark, "node")).alias("mark2"),
-    )
+    tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
     tokens = materialise(tokens.filter("low <> high"), "join-tokens")
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    two = tokens.filter("members = 2").filter(near(F.col("few"), F.col("many"))).select(F.col("low").alias("a"), F.col("high").alias("b"))
+    two = tokens.filter("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    members = entries.join(small(materialise(tokens.filter("members > 2").select("token", "members", "low"), "join-many"), CHOSEN_ROWS), "token")
+    members = materialise(members, "join-entries")
     # Tokens with the same members need looking at once.
-    blocks = tokens.filter("members > 2").groupBy("members", "mark", "mark2", "low").agg(F.min("token").alias("block"))
-    members = entries.join(small(materialise(blocks.select(F.col("block").alias("token"), "members", "low"), "join-blocks"), 200_000), "token")
-    members = materialise(members.select(F.col("token").alias("block"), "members", "low", "node", "n"), "join-members")
-    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
-    stars = stars.join(classes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").filter(near(F.col("n_a"), F.col("n_b")))
-    pairs = materialise(two.union(stars.select("a", "b")).distinct(), "join-pairs")
-    links = materialise(confirm(pairs, chosen, docs, width, percent), "join-links")
+    mark = F.xxhash64("node")
+    marks = members.groupBy("token", "members", "low").agg(F.bit_xor(mark).alias("mark"), F.bit_xor(F.xxhash64(mark, "node")).alias("mark2"))
+    blocks = marks.groupBy("members", "mark", "mark2", "low").agg(F.min("token").alias("token")).select("token")
+    members = materialise(members.join(blocks, "token", "left_semi").withColumnRenamed("token", "block"), "join-members")
+    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    pairs = materialise(two.union(stars).distinct(), "join-pairs")
+    links = materialise(confirm(screen(pairs, maps, percent), classes, docs, width, percent), "join-links")
 
     roots = components(links)
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -281,14 +330,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = placed.join(open_blocks, "block").filter("node <> low")
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    placed = placed.select("block", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "n", "root")
-    maps = rows.join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "bits")
-    placed = placed.join(maps, "node")
-    more = tree_pairs(placed, percent).join(pairs, ["a", "b"], "left_anti")
-    more = materialise(more, "join-more")
-    if more.limit(1).count():
-        links = links.union(confirm(more, chosen, docs, width, percent))
-        roots = components(links)
+    placed = placed.select("block", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "root")
+    more = tree_pairs(placed.join(maps, "node"), percent).join(pairs, ["a", "b"], "left_anti")
+    links = materialise(links.union(confirm(more, classes, docs, width, percent)), "join-every")
+    roots = components(links)
 
     named = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

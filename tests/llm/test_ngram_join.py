@@ -5,11 +5,10 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from pathgram.llm import ngram_join
 from pathgram.llm.components import components
-from pathgram.llm.ngram_join import Tree, bitmap, keep_one, ngram_components, traverse
+from pathgram.llm.ngram_join import bitmap, keep_one, ngram_components, similar_trees
 
 SCHEMA = "doc_id long, text string, n_shingles string, node string"
 
@@ -107,16 +106,17 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.count() == empty + len({c for _, n, c in found if n})
 
 
-def test_tree_loses_no_pair():
+def test_trees_lose_no_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     sets = []
     for _ in range(150):
         own = rng.integers(0, 1 << 63, rng.integers(5, 60), dtype=np.uint64)
-        sets.append(np.unique(np.concatenate([base[: rng.integers(100, 300)], own])))
-    sets.sort(key=len)
-    tree = Tree(np.array([len(s) for s in sets]), np.array([bitmap(s) for s in sets]))
-    found = set(zip(*(x.tolist() for x in traverse(tree, tree, 80)), strict=True))
+        sets.append(np.unique(np.concatenate([base[: rng.integers(10, 300)], own])))
+    every = np.arange(len(sets))
+    x, y = similar_trees(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], every, every, 80)
+    found = set(zip(x.tolist(), y.tolist(), strict=True))
+    assert len(found) < len(sets) ** 2 / 2
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
             both = len(np.intersect1d(x, y))
