@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathgram.llm.common import whole
-from pathgram.session import materialise
+from pathgram.session import discard, materialise
 
 WINDOW = 2
 DIVISOR = 2
@@ -66,7 +66,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     firsts = found.groupBy("key", "body").agg(F.min(place).alias("keep")).select(F.col("key").alias("key3"), F.col("body").alias("body3"), "keep")
     again = found.join(firsts, (F.col("key") == F.col("key3")) & (F.col("body") == F.col("body3")))
     again = again.filter(~place.eqNullSafe(F.col("keep")))
-    return again.groupBy("doc_id", "code").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    ranges = materialise(again.groupBy("doc_id", "code").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "lines-ranges")
+    discard(keys, found)
+    return ranges
 
 
 def remove_repeated_lines(docs: DataFrame, report: bool = False) -> DataFrame:
@@ -74,7 +76,7 @@ def remove_repeated_lines(docs: DataFrame, report: bool = False) -> DataFrame:
 
     ``report`` adds n_lines and n_removed.
     """
-    ranges = materialise(repeated_lines(docs), "lines-ranges").select(
+    ranges = repeated_lines(docs).select(
         F.col("doc_id").alias("__id"), F.col("code").alias("__code"), F.col("ranges").alias("__ranges")
     )
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__code"))

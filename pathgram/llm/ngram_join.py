@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pathgram.llm.common import small, whole
 from pathgram.llm.components import components
 from pathgram.llm.shingles import mix, shingle_sets
-from pathgram.session import materialise
+from pathgram.session import discard, materialise
 
 WIDTH = 5
 PERCENT = 80
@@ -262,8 +262,9 @@ def confirm(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, pe
     """The candidate pairs (a, b) that are similar enough; sets are made anew from the texts involved."""
     pairs = materialise(pairs, "join-candidates")
     nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "join-nodes")
-    sets = materialise(_texts(docs, small(materialise(chosen.join(nodes, "node"), "join-texts"))).mapInArrow(_set_task(width), "node long, items binary"), "join-sets")
-    sets = sets.dropDuplicates(["node"]) if sets.count() > nodes.count() else sets
+    texts = materialise(chosen.join(nodes, "node"), "join-texts")
+    written = materialise(_texts(docs, small(texts)).mapInArrow(_set_task(width), "node long, items binary"), "join-sets")
+    sets = written.dropDuplicates(["node"]) if written.count() > nodes.count() else written
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("right"))
 
@@ -276,7 +277,9 @@ def confirm(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, width: int, pe
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(task, "a long, b long")
+    links = materialise(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(task, "a long, b long"), "join-links")
+    discard(pairs, nodes, texts, written)
+    return links
 
 
 def _set_task(width: int):
@@ -313,16 +316,18 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
     tokens = materialise(tokens.filter("low <> high"), "join-tokens")
     two = tokens.filter("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    members = entries.join(small(materialise(tokens.filter("members > 2").select("token", "members", "low"), "join-many"), CHOSEN_ROWS), "token")
-    members = materialise(members, "join-entries")
+    many = materialise(tokens.filter("members > 2").select("token", "members", "low"), "join-many")
+    every = materialise(entries.join(small(many, CHOSEN_ROWS), "token"), "join-entries")
+    discard(entries)
     # Tokens with the same members need looking at once.
     mark = F.xxhash64("node")
-    marks = members.groupBy("token", "members", "low").agg(F.bit_xor(mark).alias("mark"), F.bit_xor(F.xxhash64(mark, "node")).alias("mark2"))
+    marks = every.groupBy("token", "members", "low").agg(F.bit_xor(mark).alias("mark"), F.bit_xor(F.xxhash64(mark, "node")).alias("mark2"))
     blocks = marks.groupBy("members", "mark", "mark2", "low").agg(F.min("token").alias("token")).select("token")
-    members = materialise(members.join(blocks, "token", "left_semi").withColumnRenamed("token", "block"), "join-members")
+    members = materialise(every.join(blocks, "token", "left_semi").withColumnRenamed("token", "block"), "join-members")
     stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     pairs = materialise(two.union(stars).distinct(), "join-pairs")
-    links = materialise(confirm(screen(pairs, maps, percent), classes, docs, width, percent), "join-links")
+    discard(every, many, tokens)
+    links = confirm(screen(pairs, maps, percent), classes, docs, width, percent)
 
     roots = components(links)
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -339,12 +344,14 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = materialise(named.select("node", "root").join(smallest, "root").select("node", "component_id"), "join-named")
     linked = rows.filter("n > 0").join(named, "node").select("doc_id", "code", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return linked.union(rows.filter("n = 0").select("doc_id", "code", F.lit(0).cast("long"), "doc_id"))
+    result = materialise(linked.union(rows.filter("n = 0").select("doc_id", "code", F.lit(0).cast("long"), "doc_id")), "join-result")
+    discard(described, classes, maps, members, pairs, links, named)
+    return result
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without all but one document of each component."""
-    found = materialise(ngram_components(docs, width, percent), "join-found").filter("n_shingles > 0")
+    found = ngram_components(docs, width, percent).filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "code")
     keepers = found.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("component_id").alias("__c"), "first")
     again = found.join(keepers, F.col("component_id").eqNullSafe(F.col("__c")))
