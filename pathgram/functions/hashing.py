@@ -28,11 +28,12 @@ def lane(case_id: Column, replicate: Column | int, seed: int) -> Column:
     """Pseudo-random integer in [0, PRIME) as a Column."""
     rep = replicate if isinstance(replicate, Column) else F.lit(int(replicate)).cast("long")
     p = F.lit(PRIME).cast("long")
-    low = case_id.cast("long") % p
-    high = ((case_id.cast("long") - low) / p).cast("long")
-    first = (low * F.lit(CASE_STEP) + high * F.lit(HIGH_STEP) + rep * F.lit(REPLICATE_STEP) + F.lit(int(seed))) % p
-    second = (first * first + F.lit(MIX_STEP) + high * (rep + F.lit(1))) % p
-    return (second * second + F.lit(LAST_STEP)) % p
+    case = case_id.cast("long")
+    low = F.pmod(case, p)
+    high = F.call_function("div", case - low, p)
+    first = F.pmod(low * F.lit(CASE_STEP) + high * F.lit(HIGH_STEP) + rep * F.lit(REPLICATE_STEP) + F.lit(int(seed)), p)
+    second = F.pmod(first * first + F.lit(MIX_STEP) + high * (rep + F.lit(1)), p)
+    return F.pmod(second * second + F.lit(LAST_STEP), p)
 
 
 def uniform(case_id: Column, replicate: Column | int, seed: int) -> Column:

@@ -1,4 +1,4 @@
-"""Task counts of scans, and size-checked broadcasts."""
+"""Tasks of small scans, and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -9,12 +9,7 @@ SMALL_ROWS = 10_000
 STAGES = ("Join", "Aggregate", "Exchange", "Sort", "Window", "Pandas", "Arrow")
 
 
-def fewer_tasks(df: DataFrame) -> DataFrame:
-    """Let one task read several splits, so partial results stay a few per core."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
-def _splits(df: DataFrame) -> int | None:
+def splits(df: DataFrame) -> int | None:
     """Number of splits of a plain scan; None when the plan has stages (asking would run them)."""
     try:
         plan = df._jdf.queryExecution().sparkPlan().toString()
@@ -23,17 +18,14 @@ def _splits(df: DataFrame) -> int | None:
     return None if any(s in plan for s in STAGES) else df.rdd.getNumPartitions()
 
 
-def spread(df: DataFrame, gather: bool = False) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Give every core work when a plain scan has fewer splits than cores.
 
-    Such a table is small, so moving its rows once is cheap; larger scans are left as
-    they are (or, with ``gather``, read with several splits per task).
+    Such a table is small, so moving its rows once is cheap; larger scans are left as they are.
     """
-    splits = _splits(df)
+    found = splits(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if splits is not None and splits < cores:
-        return df.repartition(cores)
-    return fewer_tasks(df) if gather else df
+    return df.repartition(cores) if found is not None and found < cores else df
 
 
 def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:

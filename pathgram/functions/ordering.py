@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from pathgram.functions.columns import col
 from pathgram.functions.layout import spread
+from pathgram.session import materialise
 
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 10_000
@@ -59,10 +60,21 @@ def running_total(df: DataFrame, column: str, amount: str, rows: int, out: str,
     return joined.withColumn(out, F.col("_offset") + F.sum(amount).over(inside)).drop("_bucket", "_offset")
 
 
-def number_cases(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds ``case_number`` = 1, 2, ... in the order of a unique key."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_total(one, key, "_one", df.count(), "case_number", rows_per_bucket).drop("_one")
+def number_cases(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Adds ``case_number`` = 1, 2, ... in the order of a unique key of any orderable type.
+
+    Rows are cut into key ranges and sorted there; a range's offset is the number of rows before it.
+    """
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(count, col(key)).sortWithinPartitions(col(key))
+    placed = materialise(placed.withColumn("_place", F.monotonically_increasing_id()), "case-order")
+    placed = placed.withColumn("_range", F.shiftright("_place", 33))
+    order = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_offset"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.join(F.broadcast(offsets), "_range")  # one row per range
+    return joined.withColumn("case_number", F.col("_offset") + inside + 1).drop("_place", "_range", "_offset")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],

@@ -58,42 +58,43 @@ def _inner(c: np.ndarray, edges: list[tuple[int, int]], scheme: str) -> np.ndarr
     return inner
 
 
+def _outer(r: np.ndarray, spec: ModelSpec) -> tuple[np.ndarray, np.ndarray]:
+    """Which indicator belongs to which construct, and the inverse blocks that formative weights need."""
+    blocks = spec.blocks()
+    member = np.zeros((len(r), len(blocks)), dtype=bool)
+    inverse = np.zeros((len(blocks), len(r), len(r)))
+    for lv, (name, block) in enumerate(zip(spec.names, blocks)):
+        member[block, lv] = True
+        at = np.ix_(block, block)
+        inverse[lv][at] = solve(r[at], np.eye(len(block))) if spec.modes[name] == FORMATIVE else np.eye(len(block))
+    return member, inverse
+
+
 def estimate_weights(r: np.ndarray, spec: ModelSpec, settings: FitSettings) -> Weights:
-    """The alternating inner/outer estimation, on the correlation matrix alone."""
-    blocks, names = spec.blocks(), spec.names
-    position = {c: k for k, c in enumerate(names)}
-    edges = [(position[s], position[t]) for s, t in spec.paths]
-    raw = np.zeros((len(r), len(blocks)))
-    for lv, block in enumerate(blocks):
-        raw[block, lv] = 1.0 / np.sqrt(len(block))
-    own = np.eye(len(blocks))
-    converged, iteration = False, settings.max_iterations
-    for iteration in range(1, settings.max_iterations + 1):
-        unit = unit_scale(raw, r)
-        loadings = r @ unit
-        c = unit.T @ loadings
+    """The alternating inner/outer estimation, on the correlation matrix alone.
+
+    All constructs move at once: their inner proxies come from one product, and one projection takes
+    the proxies' covariances with the indicators to weights.
+    """
+    member, inverse = _outer(r, spec)
+    at = {c: k for k, c in enumerate(spec.names)}
+    edges = [(at[s], at[t]) for s, t in spec.paths]
+    raw = member / np.sqrt(member.sum(axis=0))
+    moved, rounds = np.inf, 0
+    while moved >= settings.stop and rounds < settings.max_iterations:
+        loadings = r @ unit_scale(raw, r)
+        c = unit_scale(raw, r).T @ loadings
         inner = _inner(c, edges, settings.scheme)
-        spread = np.einsum("il,ij,jl->l", inner, c, inner)
-        idle = (np.abs(inner).sum(axis=0) <= 1e-8) | (spread <= 0)
-        inner[:, idle] = own[:, idle]
-        spread = np.where(idle, 1.0, spread)
-        proxies = loadings @ (inner / np.sqrt(spread))
-        fresh = np.zeros_like(raw)
-        for lv, (block, name) in enumerate(zip(blocks, names)):
-            w = proxies[block, lv]
-            if spec.modes[name] == FORMATIVE:
-                w = solve(r[np.ix_(block, block)], w)
-            if not np.all(np.isfinite(w)) or not np.linalg.norm(w):
-                w = raw[block, lv]
-            if w @ raw[block, lv] < 0:
-                w = -w
-            fresh[block, lv] = w / np.linalg.norm(w)
-        moved = np.abs(fresh - raw).max()
-        raw = fresh
-        if moved < settings.stop:
-            converged = True
-            break
-    return Weights(raw, unit_scale(raw, r), iteration, converged)
+        variance = ((inner.T @ c) * inner.T).sum(axis=1)
+        alone = (np.abs(inner).sum(axis=0) <= 1e-8) | (variance <= 0)
+        inner = np.where(alone, np.eye(len(c)), inner / np.sqrt(np.where(alone, 1.0, variance)))
+        fresh = np.einsum("lij,jl->il", inverse, np.where(member, loadings @ inner, 0.0))
+        length = np.linalg.norm(fresh, axis=0)
+        lost = ~np.isfinite(length) | (length == 0)
+        turned = np.where((fresh * raw).sum(axis=0) < 0, -1.0, 1.0)
+        fresh = np.where(lost, raw, fresh * turned / np.where(lost, 1.0, length))
+        moved, raw, rounds = float(np.abs(fresh - raw).max()), fresh, rounds + 1
+    return Weights(raw, unit_scale(raw, r), rounds, moved < settings.stop)
 
 
 def equal_weights(r: np.ndarray, spec: ModelSpec) -> Weights:
@@ -114,15 +115,14 @@ def path_matrix(corr: np.ndarray, spec: ModelSpec) -> tuple[np.ndarray, dict[int
 
 
 def total_effects(paths: np.ndarray) -> np.ndarray:
-    """Sum of all powers of an acyclic path matrix."""
-    eye = np.eye(len(paths))
-    try:
-        return np.linalg.inv(eye - paths) - eye
-    except np.linalg.LinAlgError:
-        total, power = np.zeros_like(paths), paths
-        for _ in range(len(paths)):
-            total, power = total + power, power @ paths
-        return total
+    """Direct plus all indirect effects of an acyclic path matrix.
+
+    Chains of up to 2, 4, 8, ... steps are added by squaring; no chain is longer than the number of constructs.
+    """
+    reach, power = np.eye(len(paths)) + paths, paths @ paths
+    while power.any():
+        reach, power = reach + reach @ power, power @ power
+    return reach - np.eye(len(paths))
 
 
 def adjusted(r2: float, n: float, p: int) -> float:
@@ -137,15 +137,13 @@ def inflation(corr: np.ndarray, others: list[int], own: int) -> float:
 
 
 def rho_a(w: np.ndarray, block: np.ndarray, fallback: float) -> float:
-    size = float(w @ block @ w)
-    if not size > 0:
+    """Consistent reliability: agreement, off the diagonal, of the block with the rank-one matrix of its weights."""
+    outer = np.outer(w, w) * ~np.eye(len(w), dtype=bool)
+    agreement, own = float((outer * block).sum()), float((outer**2).sum())
+    variance = float(w @ block @ w)
+    if variance <= 0 or own == 0:
         return fallback
-    w = w / np.sqrt(size)
-    norm = float(w @ w)
-    off = float(w @ (block - np.diag(np.diag(block))) @ w)
-    base = norm**2 - float((w**4).sum())
-    value = norm**2 * off / base if base else float("nan")
-    return value if np.isfinite(value) else fallback
+    return float((w @ w) ** 2 * agreement / own / variance)
 
 
 def mean_off_diagonal(block: np.ndarray) -> float:
@@ -243,9 +241,14 @@ def measurement_rows(r: np.ndarray, weights: Weights, spec: ModelSpec) -> list[t
 
 
 def geodesic(observed: np.ndarray, implied: np.ndarray) -> float:
+    """Half the squared distance of two correlation matrices along the cone: squared logs of their relative roots.
+
+    The relative roots are those of the implied matrix in coordinates where the observed one is the identity.
+    """
     try:
-        roots = np.real(np.linalg.eigvals(np.linalg.solve(observed, implied)))
+        half = np.linalg.cholesky(observed)
     except np.linalg.LinAlgError:
         return float("nan")
-    roots = roots[roots > 1e-12]
-    return float(0.5 * (np.log(roots) ** 2).sum()) if roots.size else float("nan")
+    whitened = np.linalg.solve(half, np.linalg.solve(half, implied).T)
+    logs = np.log(np.maximum(np.linalg.eigvalsh((whitened + whitened.T) / 2), CUTOFF))
+    return float(logs[logs > np.log(CUTOFF)] @ logs[logs > np.log(CUTOFF)]) / 2 if (logs > np.log(CUTOFF)).any() else float("nan")

@@ -14,17 +14,13 @@ from pathgram.functions.hashing import lane_array
 from pathgram.functions.ordering import bucket_of, exact_quantiles
 from pathgram.operators.trees import Predictor
 
-EXACT_FEATURES = 8
-MAX_BACKGROUND = 64
-
-
-def coalition_design(d: int, permutations: int = 32, seed: int = 42) -> dict[int, list[float]]:
+def coalition_design(d: int, permutations: int | None = None, seed: int = 42) -> dict[int, list[float]]:
     """mask -> coefficient per feature, so that phi = sum over masks of coefficient x value.
 
-    Exact for few features, otherwise prefixes of hashed permutations.
+    Exact over all 2^d coalitions; with ``permutations``, an estimate from the prefixes of that many hashed orders.
     """
     design: dict[int, list[float]] = {}
-    if d <= EXACT_FEATURES:
+    if permutations is None:
         for size in range(d + 1):
             for members in combinations(range(d), size):
                 mask = sum(1 << i for i in members)
@@ -50,13 +46,12 @@ def background_rows(df: DataFrame, features: Sequence[str], case_id: str, size:
     """A small fixed reference sample: the cases with the smallest hash."""
     from pathgram.functions.hashing import lane
 
-    size = min(size, MAX_BACKGROUND)
     rows = df.select(*[col(f).cast("double").alias(f) for f in features], lane(col(case_id), 2, seed).alias("_h"), col(case_id).alias("_k"))
     return [list(r[: len(features)]) for r in rows.orderBy("_h", "_k").limit(size).collect()]
 
 
 def shapley(df: DataFrame, features: Sequence[str], predictor: Predictor, case_id: str,
-            background: int = 16, permutations: int = 32, seed: int = 42) -> DataFrame:
+            background: int = 16, permutations: int | None = None, seed: int = 42) -> DataFrame:
     """(case_id, feature, value, phi, prediction, baseline); phi sums to prediction - baseline.
 
     Rows are expanded to coalitions in place and scored by one transform; the sums per

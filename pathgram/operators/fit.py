@@ -38,13 +38,30 @@ def guard(m: Moments, spec: ModelSpec) -> None:
         raise ModelError("zero variance: " + ", ".join(flat))
 
 
+def unfit(m: Moments) -> str:
+    """Why a group or replicate cannot be fitted; empty if it can.
+
+    An indicator is constant when its smallest and largest value agree, or when all its spread is
+    rounding: replicates share the table's smallest and largest values.
+    """
+    if not m.n >= 2:
+        return "fewer than two complete rows"
+    if not np.all(np.isfinite(m.scatter)):
+        return "values out of range"
+    rounding = m.n * (1e-13 * np.abs(m.mean)) ** 2
+    constant = np.diag(m.scatter) <= rounding
+    if m.low is not None and m.high is not None:
+        constant = constant | (np.asarray(m.low) == np.asarray(m.high))
+    return f"{int(constant.sum())} constant indicators" if constant.any() else ""
+
+
 def usable(m: Moments) -> bool:
-    """Replicates without rows or with a constant indicator are skipped."""
-    return bool(m.n >= 2 and np.all(np.diag(m.scatter) > 0) and np.all(np.isfinite(m.scatter)))
+    return not unfit(m)
 
 
-def term_names(spec: ModelSpec) -> list[str]:
-    return [e.name for e in spec.usable_effects()]
+def skipped(m: Moments) -> list[tuple]:
+    """The row that stands for a group without a model."""
+    return [("run", "skipped", "skipped", unfit(m), 1.0)]
 
 
 def model_rows(m: Moments, spec: ModelSpec, settings: FitSettings, weights: Weights | None = None,
@@ -169,7 +186,7 @@ def fit_by(df: DataFrame, spec: ModelSpec, keys: Sequence[str], settings: FitSet
     def fit(key, pdf):
         m = from_rows(pdf)
         if not usable(m):
-            return rows_frame([], **dict(zip(keys, key)))
+            return rows_frame(skipped(m), **dict(zip(keys, key)))
         w = equal_weights(m.correlation(), spec) if sum_scores else None
         return rows_frame(model_rows(m, spec, settings, w), **dict(zip(keys, key)))
 
@@ -205,7 +222,7 @@ def fit_by(df: DataFrame, spec: ModelSpec, keys: Sequence[str], settings: FitSet
     def both(key, first, second):
         m = from_rows(first)
         if not usable(m) or second.empty:
-            return rows_frame([], **dict(zip(keys, key)))
+            return rows_frame(skipped(m), **dict(zip(keys, key)))
         return rows_frame(model_rows(m, spec, settings, None, from_rows(second)), **dict(zip(keys, key)))
 
     return parts.groupBy(*keys).cogroup(layer_parts.groupBy(*keys)).applyInPandas(both, schema)

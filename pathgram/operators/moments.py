@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathgram.functions.layout import fewer_tasks, spread
+from pathgram.functions.layout import splits, spread
 
 CELLS_PER_STEP = 4_000_000  # rows x replicates worked on at once inside a task
+MERGE = 256  # partial rows of a key that one task merges at first
 CELLS_PER_TASK = 32_000_000  # accumulator cells (256 MB) a task may hold
 
 MOMENT_FIELDS = [
@@ -105,7 +106,7 @@ def moment_parts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     """Partial moments per (task, key). Rows with a missing value must be gone already."""
     keys, columns = list(keys), list(columns)
     p = len(columns)
-    source = fewer_tasks(df.select(*[F.col(f"`{k}`") for k in keys], *[_double(c) for c in columns]))
+    source = df.select(*[F.col(f"`{k}`") for k in keys], *[_double(c) for c in columns])
     schema = T.StructType([df.schema[k] for k in keys] + MOMENT_FIELDS)
     flush_at = max(1, CELLS_PER_TASK // (p * (p + 7)))
 
@@ -159,7 +160,26 @@ def moment_parts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
         if held:
             yield emit()
 
-    return source.mapInArrow(run, schema)
+    return premerge(source.mapInArrow(run, schema), keys, schema, source)
+
+
+def premerge(parts: DataFrame, keys: Sequence[str], schema: T.StructType, source: DataFrame) -> DataFrame:
+    """Partial rows of ``MERGE`` tasks at a time made one row per key, where the scan has more tasks than that.
+
+    So what finally meets in one task is a few hundred small matrices, also over a scan of a million tasks.
+    """
+    found = splits(source)
+    if found is not None and found <= MERGE:
+        return parts
+
+    def merge(key, pdf):
+        m = from_rows(pdf)
+        return pd.DataFrame([{
+            **dict(zip(keys, key)), "n": m.n, "mean": m.mean, "scatter": pack(m.scatter), "low": m.low, "high": m.high,
+        }])
+
+    few = F.floor(F.spark_partition_id() / MERGE).cast("int")
+    return parts.withColumn("_few", few).groupBy(*[F.col(f"`{k}`") for k in keys], "_few").applyInPandas(merge, schema)
 
 
 def merge_by(parts: DataFrame, keys: Sequence[str], fn, schema, models: int | None = None) -> DataFrame:
@@ -256,7 +276,7 @@ def replicated_parts(
         slices = [(s, min(s + per_scan, replicates)) for s in range(0, replicates, per_scan)]
     else:
         slices = [(0, replicates)]
-    source = spread(df.select(F.col(f"`{case_id}`").cast("long").alias("case_id"), *[_double(c) for c in columns]), gather=True)
+    source = spread(df.select(F.col(f"`{case_id}`").cast("long").alias("case_id"), *[_double(c) for c in columns]))
     schema = T.StructType(REPLICATE_FIELDS)
 
     def job(first: int, last: int):
@@ -316,7 +336,7 @@ def replicated_parts(
 
         return run
 
-    parts = [source.mapInArrow(job(a, b), schema) for a, b in slices]
+    parts = [premerge(source.mapInArrow(job(a, b), schema), ["replicate"], schema, source) for a, b in slices]
     result = parts[0]
     for more in parts[1:]:
         result = result.unionByName(more)
@@ -359,7 +379,7 @@ def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
     sums = (
-        fewer_tasks(numeric).mapInArrow(run, schema)
+        numeric.mapInArrow(run, schema)
         .groupBy("i", "j")
         .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     )

@@ -74,9 +74,15 @@ def fold_coefficients(m: Moments, spec: ModelSpec, settings: FitSettings) -> np.
     names, items, o = plain.names, plain.indicators, outputs(plain)
     at, column = {c: k for k, c in enumerate(names)}, {i: k for k, i in enumerate(items)}
     r, sd, mean = m.correlation(), m.sd(), m.mean
+    # An indicator that is constant in training has score 0 and is predicted by its mean.
+    still = np.diag(m.scatter) <= m.n * (1e-13 * np.abs(mean)) ** 2
+    r[still, :] = r[:, still] = 0.0
+    r[still, still] = 1.0
+    sd = np.where(still, 0.0, sd)
+    reach = np.where(still, np.inf, sd)
     w = estimate_weights(r, plain, settings)
     paths, _ = path_matrix(w.unit.T @ r @ w.unit, plain)
-    slope = w.unit / sd[:, None]
+    slope = w.unit / reach[:, None]
     measured = np.column_stack([-(mean @ slope), slope.T])  # construct x (1 + items)
     structural = np.zeros_like(measured)
     for c in plain.causal_order():
@@ -94,7 +100,7 @@ def fold_coefficients(m: Moments, spec: ModelSpec, settings: FitSettings) -> np.
     for i in o.endo_items:
         row = np.zeros(1 + len(items))
         if exo:
-            beta = solve(r[np.ix_(exo, exo)], r[exo, column[i]]) * sd[column[i]] / sd[exo]
+            beta = solve(r[np.ix_(exo, exo)], r[exo, column[i]]) * sd[column[i]] / reach[exo]
             row[0] = mean[column[i]] - beta @ mean[exo]
             row[1 + np.array(exo)] = beta
         else:
@@ -133,7 +139,7 @@ def predict_cases(df: DataFrame, spec: ModelSpec, case_id: str, folds: int = 10,
                 continue
             m = combine(np.array([x.n for x in others]), np.stack([x.mean for x in others]),
                         np.stack([x.scatter for x in others]))
-            if m.n >= least and np.all(np.diag(m.scatter) > 0):
+            if m.n >= least:
                 out.append({"repetition": key[0], "fold": f, "slope": fold_coefficients(m, spec, settings).ravel()})
         return pd.DataFrame(out, columns=["repetition", "fold", "slope"])
 

@@ -172,7 +172,10 @@ def dataset_totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(rows, columns, missing_cells) of the table as it is, before coercion."""
     missing = F.lit(0).cast("long")
     for c in columns:
-        missing = missing + F.when(col(c).isNull(), 1).otherwise(0)
+        gone = col(c).isNull()
+        if df.schema[c].dataType in (T.DoubleType(), T.FloatType()):
+            gone = gone | F.isnan(col(c))
+        missing = missing + F.when(gone, 1).otherwise(0)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells")).select(
         "rows", F.lit(len(columns)).cast("long").alias("columns"), "missing_cells"
     )
@@ -195,6 +198,8 @@ def grouping_columns(df: DataFrame, columns: Sequence[str], least: int = 2, most
     columns = list(columns)
     estimates = df.agg(*[F.approx_count_distinct(col(c).cast("string")).alias(f"e{k}") for k, c in enumerate(columns)]).first()
     near = [c for c, e in zip(columns, estimates) if e <= FEW_ESTIMATE]
+    if not near:
+        return df.sparkSession.createDataFrame([], "variable string, groups array<string>")
     text = df.select(*[col(c).cast("string").alias(c) for c in near])
     return (
         text.unpivot([], [col(c) for c in near], "variable", "value").filter(F.col("value").isNotNull())

@@ -246,7 +246,7 @@ OPT = BOX + ", cd AS MATERIALIZED (SELECT i, " + ", ".join(
     f" SELECT '{g}' AS goal, round({g}(y), 2) + 0.0 AS value, " + ", ".join(f"round(arg_{g}({f}, y), 2) + 0.0 AS {f}" for f in FEATURES) + " FROM vd"
     for g in ("min", "max")))
 def response_optimum(spark, sf):
-    return rounded(SN.response_optimum(modelling(spark, sf), FEATURES, TR.formula_predictor(FORM), 2000, zooms=0), 2)
+    return rounded(SN.response_optimum(modelling(spark, sf), FEATURES, TR.formula_predictor(FORM), 2000, zooms=0, climbs=0), 2)
 
 
 @query("g11_response_optimum_trees")

@@ -14,6 +14,7 @@ from pathgram.spec import clean_name
 
 DELIMITERS = (",", ";", "\t", "|")
 FALLBACK_ENCODING = "ISO-8859-1"
+BYTE_ORDER_MARK = 0xFEFF
 
 
 def unique_names(headers: Iterable[object]) -> tuple[list[str], list[str]]:
@@ -39,7 +40,7 @@ def normalise_headers(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def _first_line(spark: SparkSession, path: str) -> str:
     row = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
-    return row[0].replace("﻿", "") if row else ""
+    return row[0].translate({BYTE_ORDER_MARK: None}) if row else ""
 
 
 def sniff_delimiter(line: str) -> str:
@@ -50,10 +51,11 @@ def sniff_delimiter(line: str) -> str:
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None,
                    encoding: str | None = None) -> tuple[DataFrame, list[str]]:
-    """Header row, all columns as text; delimiter and encoding found from the first line unless given."""
+    """Header row, all columns as text. Unless given, the delimiter is found from the first line and the encoding from all lines."""
     line = _first_line(spark, path)
     if encoding is None:
-        encoding = FALLBACK_ENCODING if "�" in line else "UTF-8"
+        unreadable = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
+        encoding = FALLBACK_ENCODING if unreadable else "UTF-8"
         if encoding != "UTF-8":
             line = spark.read.option("encoding", encoding).option("lineSep", "\n").csv(path, sep="\x01").first()[0]
     sep = sep or sniff_delimiter(line)
