@@ -5,7 +5,8 @@ similar enough if they share one of the rarest shingles of each (the prefix of i
 global order), so classes that share a prefix shingle form a block. What a block's classes may link
 to is found in three steps, none of which lists all pairs of a block:
 
-* Blocks of two are candidate pairs. In larger blocks every class is first paired with the smallest.
+* Blocks of two are candidate pairs. In larger blocks every class is first paired with the most central one,
+  and with the most central one that is not linked to it.
 * Confirmed links give components; blocks that lie within one component are done.
 * In the blocks that are left, classes go into a signature tree. A node holds the OR of its
   members' token bitmaps, their range of sizes and their fewest bits. Two trees are traversed
@@ -45,6 +46,8 @@ BITS = (64, 1 << 16)
 #: Classes that one tree holds, and children of a tree node.
 BLOCK = 512
 FAN = 8
+#: Rounds in which the middle of each block is compared with the rest of it.
+STARS = 2
 #: Representatives (three numbers each) up to which their rows are picked by a broadcast.
 CHOSEN_ROWS = 400_000
 
@@ -297,6 +300,28 @@ def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(chosen, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__code") == F.col("code"))).select("node", "text")
 
 
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members, with their roots, of the blocks that lie in more than one component."""
+    placed = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("block").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("block")
+    return materialise(placed.join(mixed, "block"), "join-open")
+
+
+def _star(placed: DataFrame) -> DataFrame:
+    """For each block the pairs (a, b) of one member with all members of other components.
+
+    The member is the most central one outside the component of the block's most central one; in a block
+    without links that is the second most central, so both of them are paired.
+    """
+    head = F.max(F.struct("score", "node", "root"))
+    first = placed.groupBy("block").agg(head.alias("first"))
+    others = placed.join(first, "block").filter("root <> first.root")
+    second = others.groupBy("block").agg(head.alias("second"))
+    both = placed.join(first.join(second, "block"), "block")
+    both = both.select("node", "root", F.explode(F.array("first", "second")).alias("head")).filter("root <> head.root")
+    return both.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+
+
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, code (hash of the text), n_shingles, component_id."""
     described = describe(docs, width)
@@ -323,18 +348,24 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     mark = F.xxhash64("node")
     marks = every.groupBy("token", "members", "low").agg(F.bit_xor(mark).alias("mark"), F.bit_xor(F.xxhash64(mark, "node")).alias("mark2"))
     blocks = marks.groupBy("members", "mark", "mark2", "low").agg(F.min("token").alias("token")).select("token")
-    members = materialise(every.join(blocks, "token", "left_semi").withColumnRenamed("token", "block"), "join-members")
-    stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    pairs = materialise(two.union(stars).distinct(), "join-pairs")
+    # Who shares most of its prefix stands in the middle of its family.
+    scores = every.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
+    members = every.join(blocks, "token", "left_semi").join(scores, "node").select(F.col("token").alias("block"), "members", "node", "score")
+    members = materialise(members, "join-members")
+    pairs = materialise(two.distinct(), "join-pairs")
     discard(every, many, tokens)
     links = confirm(screen(pairs, maps, percent), classes, docs, width, percent)
+    for _ in range(STARS):
+        open_blocks = _open(members, links)
+        star = _star(open_blocks).join(pairs, ["a", "b"], "left_anti")
+        star = materialise(star, "join-star")
+        links = materialise(links.union(confirm(screen(star, maps, percent), classes, docs, width, percent)), "join-links")
+        pairs = materialise(pairs.union(star), "join-pairs")
+        discard(star, open_blocks)
 
-    roots = components(links)
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_blocks = placed.groupBy("block").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("block")
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = placed.join(open_blocks, "block").filter("node <> low")
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    open_blocks = _open(members, links)
+    placed = open_blocks.withColumn("mine", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     placed = placed.select("block", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "root")
     more = tree_pairs(placed.join(maps, "node"), percent).join(pairs, ["a", "b"], "left_anti")
     links = materialise(links.union(confirm(more, classes, docs, width, percent)), "join-every")
@@ -345,7 +376,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     named = materialise(named.select("node", "root").join(smallest, "root").select("node", "component_id"), "join-named")
     linked = rows.filter("n > 0").join(named, "node").select("doc_id", "code", F.col("n").cast("long").alias("n_shingles"), "component_id")
     result = materialise(linked.union(rows.filter("n = 0").select("doc_id", "code", F.lit(0).cast("long"), "doc_id")), "join-result")
-    discard(described, classes, maps, members, pairs, links, named)
+    discard(described, classes, maps, members, pairs, links, named, open_blocks)
     return result
 
 
