@@ -16,6 +16,7 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ ROUNDS = 3
 #: A context marks candidates from this score and this many different seeds on.
 CONFIDENCE = 0.6
 SUPPORT = 5
+#: Size of the table of hashed contexts that tells tasks which words to count (fixed, whatever the number of contexts).
+SLOTS = 1 << 20
 #: Distinct words that a task counts before it passes them on.
 COUNT_WORDS = 300_000
 #: Longer words are no contexts.
@@ -116,20 +119,11 @@ def context(text: str, start: int) -> str:
 
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string,context:string,seed:boolean>>"
 _STRUCT = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("context", pa.string()), ("seed", pa.bool_())]))
-_SCHEMA = f"doc_id long, spans {_SPANS}, word string, times long"
+_SCHEMA = f"doc_id long, spans {_SPANS}"
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their spans, and counts of the words that stand anywhere (documents null)."""
-    names = ["doc_id", "spans", "word", "times"]
-    counts: Counter[str] = Counter()
-
-    def counted() -> pa.RecordBatch:
-        size = len(counts)
-        cols = [pa.nulls(size, pa.int64()), pa.nulls(size, _STRUCT), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(cols, names=names)
-
+    """Documents with their spans."""
     for batch in batches:
         found = []
         for text in batch["text"]:
@@ -139,12 +133,47 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for kind, a, b, seed in [(*s, True) for s in base] + [(*s, False) for s in find_loose(text, base)]:
                 rows.append({"kind": kind, "start": a, "end": b, "value": text[a:b].lower()[:200], "context": context(text, a), "seed": seed})
             found.append(rows)
-            counts.update(text.lower().split())
-            if len(counts) > COUNT_WORDS:
-                yield counted()
-        size = len(found)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, _STRUCT), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())], names=names)
-    yield counted()
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, _STRUCT)], names=["doc_id", "spans"])
+
+
+def count_words(texts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(word, times) of the words in ``contexts`` over all texts.
+
+    Tasks know the contexts by a table of ``SLOTS`` hash slots; words that only share a slot go in the last join.
+    """
+    slots = contexts.select((F.crc32("word") % SLOTS).cast("int").alias("slot")).distinct().collect()  # SLOTS rows at most
+    wanted = bytearray(SLOTS)
+    for row in slots:
+        wanted[row.slot] = 1
+    wanted = bytes(wanted)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        ready: Counter[str] = Counter()
+
+        def settle() -> None:
+            for word, n in counts.items():
+                if wanted[zlib.crc32(word.encode("utf-8", "surrogatepass")) % SLOTS]:
+                    ready[word] += n
+            counts.clear()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(ready), pa.string()), pa.array(list(ready.values()), pa.int64())], names=["word", "times"])
+            ready.clear()
+            return out
+
+        for batch in batches:
+            for text in batch["text"]:
+                counts.update(text.as_py().lower().split())
+                if len(counts) > COUNT_WORDS:
+                    settle()
+            if len(ready) > COUNT_WORDS:
+                yield rows()
+        settle()
+        yield rows()
+
+    found = texts.mapInArrow(task, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    return found.join(contexts, "word", "left_semi")
 
 
 def score_contexts(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -169,14 +198,15 @@ def score_contexts(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) ->
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base and added (arrays of kind, start, end; kinds are places in ``KINDS``)."""
-    searched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text")).mapInArrow(_search, _SCHEMA)
-    searched = materialise(searched.withColumn("row", F.monotonically_increasing_id()), "pii-searched")
-    rows = searched.filter("spans IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+    rows = materialise(texts.mapInArrow(_search, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "pii-searched")
     found = rows.filter(F.size("spans") > 0).select("row", F.explode_outer("spans").alias("s")).select("row", "s.*").filter("context <> ''")
     edges = found.groupBy("context", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    edges = materialise(edges, "pii-edges")
-    words = searched.filter("word IS NOT NULL").join(edges.select(F.col("context").alias("word")).distinct(), "word", "left_semi")
-    totals = materialise(words.groupBy("word").agg(F.sum("times").alias("times")), "pii-totals")
+    # Contexts with fewer different values can never get the support they need.
+    enough = edges.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("values"), F.max("seed").alias("any")).filter((F.col("values") >= SUPPORT) & F.col("any"))
+    edges = materialise(edges.join(enough.select("context", "kind"), ["context", "kind"], "left_semi"), "pii-edges")
+    contexts = materialise(edges.select(F.col("context").alias("word")).distinct(), "pii-words")
+    totals = materialise(count_words(texts.select("text"), contexts), "pii-totals")
     sure = score_contexts(edges, totals).filter((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT)).select("context", "kind")
     added = found.filter("NOT seed").join(small(materialise(sure, "pii-sure")), ["context", "kind"], "left_semi")
     added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
