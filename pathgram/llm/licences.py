@@ -177,8 +177,12 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("code"), "text")
     kept = rows.select(F.struct("doc_id", "code").alias("row"), "text")
     found = materialise(paragraphs(kept), "licence-paragraphs")
-    sample = docs.select(F.explode(F.split(whole("text"), "\n", -1)).alias("line")).filter(~F.lower("line").rlike("licen|copyright|permi|redistribut|domain"))
-    sample = sample.orderBy(F.xxhash64("line")).limit(SAMPLE_ROWS).select(_words(F.col("line")).alias("tokens")).select(_with_pairs(F.col("tokens")).alias("terms"))
+    # A share of the lines that gives some times SAMPLE_ROWS, before the few that are taken get sorted.
+    code = F.xxhash64("line")
+    share = F.pmod(code, F.lit(max(1, docs.count()))) < SAMPLE_ROWS
+    sample = docs.select(F.explode_outer(F.split(whole("text"), "\n", -1)).alias("line"))
+    sample = sample.filter(share & ~F.lower("line").rlike("licen|copyright|permi|redistribut|domain"))
+    sample = sample.orderBy(code, "line").limit(SAMPLE_ROWS).select(_words(F.col("line")).alias("tokens")).select(_with_pairs(F.col("tokens")).alias("terms"))
     classifier = Classifier(spark, materialise(sample, "licence-sample"))
     judged = classifier.judged(found).filter(F.col("family") != NONE)
     lines = judged.groupBy("row", "at").agg(F.first("family").alias("family"))
