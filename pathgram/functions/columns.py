@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pathgram.spec import ModelError, clean_name
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-MISSING_WORDS = ("", "nan", "None")
 
 
 def col(name: str) -> Column:

@@ -54,7 +54,3 @@ def pareto_front(scored: DataFrame) -> DataFrame:
     simpler = W.orderBy("complexity", "loss").rowsBetween(W.unboundedPreceding, -1)
     best = F.min("loss").over(simpler)
     return scored.withColumn("_best", best).filter(F.col("_best").isNull() | (F.col("loss") < F.col("_best"))).drop("_best")
-
-
-def most_accurate(scored: DataFrame) -> DataFrame:
-    return scored.orderBy("loss", "complexity").limit(1)

@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pathgram.functions.columns import col
 from pathgram.functions.cuts import at_or_below, rank_cuts
 from pathgram.functions.distributions import student_tail
 from pathgram.functions.hashing import lane_array, poisson_array
 from pathgram.operators.fit import fit_by
 from pathgram.operators.prepare import check_group_sizes, group_pair, prepare
 from pathgram.operators.resample import replicate_metrics
+from pathgram.session import materialise
 from pathgram.spec import FitSettings, ModelError, ModelSpec
 
 PATHS = ("path",)
@@ -79,15 +81,21 @@ def difference_tests(observed: DataFrame, spread: DataFrame) -> DataFrame:
     )
 
 
+def _pair(df: DataFrame, spec: ModelSpec, case_id: str, group: str, first: str, second: str) -> DataFrame:
+    """Both groups as one written table, as several passes read it."""
+    pair = group_pair(df, group, first, second)
+    return materialise(pair.select("side", *[col(c) for c in dict.fromkeys([case_id, *spec.indicators])]), "groups-pair")
+
+
 def multi_group(df: DataFrame, spec: ModelSpec, case_id: str, group: str, first: str, second: str,
                 replicates: int = 300, settings: FitSettings = FitSettings()) -> DataFrame:
     """One row per path: estimates of both groups, difference and three p values."""
     spec.check(df.columns)
     if not spec.paths:
         raise ModelError("a group comparison needs a structural model")
-    pair = group_pair(df, group, first, second)
+    pair = _pair(df, spec, case_id, group, first, second)
     check_group_sizes(pair)
-    samples = group_samples(pair, spec, case_id, replicates, settings)
+    samples = materialise(group_samples(pair, spec, case_id, replicates, settings), "groups-samples")  # each replicate is fitted once
     spread = samples.groupBy("label").agg(
         F.stddev_samp(F.when(F.col("side") == "a", F.col("value"))).alias("se_a"),
         F.stddev_samp(F.when(F.col("side") == "b", F.col("value"))).alias("se_b"),
@@ -100,7 +108,7 @@ def permutation_samples(df: DataFrame, spec: ModelSpec, case_id: str, group: str
                         permutations: int, settings: FitSettings) -> tuple[DataFrame, DataFrame]:
     """(replicate, label, difference) and the observed paths."""
     spec.check(df.columns)
-    pair = group_pair(df, group, first, second)
+    pair = _pair(df, spec, case_id, group, first, second)
     check_group_sizes(pair)
     table, _ = prepare(pair, spec.indicators, settings.missing, keep=[case_id], keys=["side"])
     sizes = {r["side"]: r["count"] for r in table.groupBy("side").count().collect()}

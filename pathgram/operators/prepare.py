@@ -185,7 +185,3 @@ def bounds_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
         (F.col("low") == F.col("high")).alias("constant"),
         (F.col("n") < 20).alias("few_rows"),
     )
-
-
-def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    return [f.name for f in df.schema if is_numeric(f) and f.name not in exclude]

@@ -20,6 +20,7 @@ from pathgram.operators.fit import METRIC_FIELDS, model_rows, rows_frame, usable
 from pathgram.operators.metrics import SECTIONS, flat, reportable
 from pathgram.operators.moments import Weigher, from_rows, merge_by, replicated_parts
 from pathgram.operators.prepare import prepare
+from pathgram.session import materialise
 from pathgram.spec import FitSettings, ModelSpec
 
 BINS = 24
@@ -52,6 +53,7 @@ def replicate_metrics(df: DataFrame, spec: ModelSpec, case_id: str, replicates:
 
     # Product terms depend on each replicate's weights, so scores need a second scan. The
     # broadcast table has one row of p x constructs numbers per replicate, whatever the row count.
+    parts = materialise(parts, "replicates")
     first_schema = "replicate long, offset array<double>, slope array<double>"
 
     def stage_one(key, pdf):

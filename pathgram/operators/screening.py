@@ -52,13 +52,6 @@ def scale_bounds(row) -> tuple[float, float] | None:
     return None
 
 
-def scale_bounds_columns() -> tuple[Column, Column]:
-    usable = (F.col("n") > 0) & F.col("whole") & (F.col("few") <= MAX_SCALE_VALUES) & (F.col("high") <= 10)
-    low = F.when(usable, F.when((F.col("high") > 7) & (F.col("low") < 1), 0.0).otherwise(1.0))
-    high = F.when(usable, F.when(F.col("high") <= 5, 5.0).when(F.col("high") <= 7, 7.0).otherwise(10.0))
-    return low, high
-
-
 def _tests(row, value: Column) -> dict[str, Column]:
     """Outlier tests of one column with its moments and quartiles as constants."""
     no = F.lit(False)

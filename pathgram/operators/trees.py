@@ -21,7 +21,6 @@ Predictor = Callable[[DataFrame], DataFrame]
 
 # Quick settings and the tone of R squared.
 QUICK = {"maxDepth": 3, "stepSize": 0.05, "maxIter": 300, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-GRID = {"maxDepth": [3, 5], "stepSize": [0.05, 0.1], "subsamplingRate": [0.8, 1.0]}
 TONE_GOOD, TONE_FAIR = 0.75, 0.5
 
 

@@ -206,6 +206,16 @@ def ipma(spark, sf):
     return rounded(ipma_ops.importance_performance(fx, fit_model(fx, SPEC, TIGHT), "Value"))
 
 
+@query("e32_ipma_lines", S.model_sql(
+    "SELECT round(avg(m.value * t.sd / p.sd), 6) + 0.0 AS mean_importance, round(max(t.m), 6) + 0.0 AS mean_performance "
+    "FROM perf p JOIN metrics m ON m.metric = 'total' AND m.source = p.construct AND m.target = 'Value' "
+    "JOIN perf t ON t.construct = 'Value' WHERE abs(m.value) >= 1e-9 AND p.construct <> 'Value'", extra=IPMA_CTE))
+def ipma_lines(spark, sf):
+    fx = materialise(customer_indicators(spark, sf).select("case_id", *SPEC.indicators), "cases")
+    model = fit_model(fx, SPEC, TIGHT)
+    return rounded(ipma_ops.map_centre(ipma_ops.importance_performance(fx, model, "Value"), ipma_ops.performance(fx, model), "Value"))
+
+
 @query("e33_flat_metrics", S.model_sql(
     "SELECT metric || ':' || label AS metric, round(value, 6) + 0.0 AS value FROM metrics WHERE label <> 'd_G' AND metric IN ("
     + ", ".join(f"'{m}'" for m in [*SQL_FLAT, "model_fit"]) + ")"))

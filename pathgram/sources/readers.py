@@ -85,7 +85,3 @@ def read_numbers(spark: SparkSession, path: str, sep: str, decimal: str = ",") -
         (to_number(F.col(f"`{c}`"), decimal) if not bad else F.col(f"`{c}`")).alias(c)
         for c, bad in zip(text.columns, lost)
     ])
-
-
-def read_parquet(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    return normalise_headers(spark.read.parquet(path))
