@@ -124,17 +124,6 @@ def _cdf(z: pd.Series) -> pd.Series:
     return pd.Series(normal_cdf(z.to_numpy()))
 
 
-def ks_tail(df: DataFrame, d: float, n: int) -> float:
-    """Two-sided p: the JVM's distribution function for moderate n, the limit beyond."""
-    if n <= 1_000_000:
-        try:
-            jvm = df.sparkSession._jvm
-            return float(1.0 - jvm.org.apache.commons.math3.stat.inference.KolmogorovSmirnovTest().cdf(d, n))
-        except Exception:  # noqa: BLE001 - no JVM gateway (remote client)
-            pass
-    return kolmogorov_tail(d, n)
-
-
 def ks_distance(df: DataFrame, column: str, mean: float, sd: float, n: int) -> DataFrame:
     """Largest gap between the empirical and the standard normal distribution.
 
@@ -176,7 +165,7 @@ def ks_distances(df: DataFrame, rows) -> dict[str, float]:
 def ks_table(df: DataFrame, stats: DataFrame) -> DataFrame:
     rows = [r for r in stats.collect() if r["n"] >= 3 and r["sd"]]
     d = ks_distances(df, rows)
-    table = [(r["variable"], float(d[r["variable"]]), ks_tail(df, float(d[r["variable"]]), r["n"])) for r in rows]
+    table = [(r["variable"], float(d[r["variable"]]), kolmogorov_tail(float(d[r["variable"]]), r["n"])) for r in rows]
     return df.sparkSession.createDataFrame(table, "variable string, d double, p double")
 
 

@@ -114,6 +114,17 @@ def test_scans_keep_their_splits_and_merge_in_two_levels(spark):
     assert row.n == 4000 and row.mean[0] == pytest.approx(1999.5)
 
 
+def test_kolmogorov_law_has_no_jump():
+    from pathgram.functions.distributions import MATRIX_CASES, _kolmogorov_matrix, _kolmogorov_series, kolmogorov_tail
+
+    for z in (0.5, 0.8, 1.2, 1.6, 2.0):
+        d = z / MATRIX_CASES**0.5
+        assert abs(_kolmogorov_matrix(d, MATRIX_CASES) - _kolmogorov_series(d, MATRIX_CASES)) < 1e-6
+    # n = 1: the distance is max(u, 1 - u); n large: the limit at 1.3581 leaves five percent.
+    assert kolmogorov_tail(0.75, 1) == pytest.approx(0.5)
+    assert kolmogorov_tail(1.3581 / 1e6, 1e12) == pytest.approx(0.05, abs=1e-4)
+
+
 def test_entry_runs_from_another_folder(tmp_path):
     code = (
         "import sys; sys.path.insert(0, '/root/repo')\n"
