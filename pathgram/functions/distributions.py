@@ -132,7 +132,7 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
 
 
 # Largest n for which the distribution of the K-S distance is computed from its matrix form. Beyond it the
-# series below agrees with that form to six digits and more, so nothing jumps.
+# series below agrees with that form to five digits and more, so nothing jumps.
 MATRIX_CASES = 140
 
 
