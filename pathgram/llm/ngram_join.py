@@ -41,13 +41,13 @@ WIDTH = 5
 PERCENT = 80
 #: Counters of shingle frequencies (a power of two).
 COUNTERS = 1 << 18
-#: Bits of a token bitmap: a power of two, at least twice the size of the set, within these bounds.
+#: Bits of a token bitmap: a power of two, at least four times the size of the set, within these bounds.
 BITS = (64, 1 << 16)
 #: Classes that one tree holds, and children of a tree node.
 BLOCK = 512
 FAN = 8
-#: Rounds in which the middle of each block is compared with the rest of it.
-STARS = 2
+#: Rounds in which the two most central members of each block are compared with the rest of it.
+STARS = 1
 #: Representatives (three numbers each) up to which their rows are picked by a broadcast.
 CHOSEN_ROWS = 400_000
 
@@ -64,7 +64,7 @@ def _slot(values: np.ndarray) -> np.ndarray:
 
 def bitmap(values: np.ndarray) -> np.ndarray:
     """Token bitmap of a set. A bit's place is the hash modulo the width, so halves can be folded together."""
-    width = min(max(BITS[0], 1 << (2 * len(values) - 1).bit_length()), BITS[1]) if len(values) else BITS[0]
+    width = min(max(BITS[0], 1 << (4 * len(values) - 1).bit_length()), BITS[1]) if len(values) else BITS[0]
     bits = np.zeros(width, np.uint8)
     bits[(values & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
