@@ -323,7 +323,10 @@ def _star(placed: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, code (hash of the text), n_shingles, component_id."""
+    """One row per document: doc_id, code (hash of the text), n_shingles, component_id, root.
+
+    ``root`` tells components apart (null for empty sets); ids do not, as they may repeat or be null.
+    """
     described = describe(docs, width)
     rows = described.filter("node IS NOT NULL")
     heavy = described.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("times").alias("times")).collect()  # COUNTERS rows at most
@@ -373,9 +376,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
     named = classes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialise(named.select("node", "root").join(smallest, "root").select("node", "component_id"), "join-named")
-    linked = rows.filter("n > 0").join(named, "node").select("doc_id", "code", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    result = materialise(linked.union(rows.filter("n = 0").select("doc_id", "code", F.lit(0).cast("long"), "doc_id")), "join-result")
+    named = materialise(named.select("node", "root").join(smallest, "root").select("node", "component_id", "root"), "join-named")
+    linked = rows.filter("n > 0").join(named, "node").select("doc_id", "code", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
+    result = materialise(linked.union(rows.filter("n = 0").select("doc_id", "code", F.lit(0).cast("long"), "doc_id", F.lit(None).cast("long"))), "join-result")
     discard(described, classes, maps, members, pairs, links, named, open_blocks)
     return result
 
@@ -384,8 +387,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     """The rows of ``docs`` without all but one document of each component."""
     found = ngram_components(docs, width, percent).filter("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "code")
-    keepers = found.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("component_id").alias("__c"), "first")
-    again = found.join(keepers, F.col("component_id").eqNullSafe(F.col("__c")))
+    keepers = found.groupBy("root").agg(F.min(order).alias("first"))
+    again = found.join(keepers, "root")
     drop = again.filter(~order.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__id"), F.col("code").alias("__code")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__code"))
     kept = docs.join(small(materialise(drop, "join-drop")), same, "left_anti")

@@ -106,6 +106,16 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.count() == empty + len({c for _, n, c in found if n})
 
 
+def test_unlinked_documents_without_an_own_id_stay(spark):
+    words = [[f"{name}{i}" for i in range(40)] for name in "abcdef"]
+    texts = [" ".join(w) for w in words]
+    near = " ".join([*words[0][:39], "other"])
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5]), (None, texts[5])]
+    kept = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)).collect()]
+    assert len(kept) == 6 and len({near, texts[0]} & {t for _, t in kept}) == 1
+    assert {(None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5])} < set(kept)
+
+
 def test_trees_lose_no_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
