@@ -202,8 +202,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     rows = materialise(texts.mapInArrow(_search, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "pii-searched")
     found = rows.filter(F.size("spans") > 0).select("row", F.explode_outer("spans").alias("s")).select("row", "s.*").filter("context <> ''")
     edges = found.groupBy("context", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
-    # Contexts with fewer different values can never get the support they need.
-    enough = edges.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("values"), F.max("seed").alias("any")).filter((F.col("values") >= SUPPORT) & F.col("any"))
+    # Contexts with fewer different values can never get the support they need. Others can, also without a seed of their own.
+    enough = edges.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= SUPPORT)
     edges = materialise(edges.join(enough.select("context", "kind"), ["context", "kind"], "left_semi"), "pii-edges")
     contexts = materialise(edges.select(F.col("context").alias("word")).distinct(), "pii-words")
     totals = materialise(count_words(texts.select("text"), contexts), "pii-totals")

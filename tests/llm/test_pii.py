@@ -64,6 +64,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert not rows[14].added and not rows[15].added and not rows[16].base and not rows[17].base
 
 
+def test_contexts_without_seeds_are_learned_through_candidates(spark):
+    seeds = [f"hotline: +1 (505) 555-{1000 + i} now" for i in range(30)]
+    both = [f"hotline: (505) 555-{2000 + i} or ring (505) 555-{2000 + i} today" for i in range(10)]
+    texts = [*seeds, *both, "please ring (505) 555-9999 soon", "please count (505) 555-9998 sheep"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r.added for r in find_personal_data(df).select("doc_id", spelled("added").alias("added")).collect()}
+    assert rows[40] == "phone:13:26" and not rows[41]
+    assert all(len(rows[30 + i].split(",")) == 2 for i in range(10))
+
+
 def test_empty_and_repeated(spark):
     assert find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a@b.cd"), (1, "a@b.cd"), (None, "x 1.2.3.4")], "doc_id long, text string")
