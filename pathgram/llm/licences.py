@@ -1,6 +1,9 @@
 """Licence statements in texts, by a paragraph classifier that templates confirm.
 
-Paragraphs are lines. Their features are the words and word pairs of the licence templates that hold at
+Paragraphs are lines, and runs of neighbouring lines in which a notice may be wrapped: a run has no line
+without words, and its lines before the last have fewer words than the longest template. Where runs
+overlap, each line goes by the one that has most of a template, then by the shortest; a run that has no more of a
+template than a shorter one inside it does not count. Their features are the words and word pairs of the licence templates that hold at
 least one word particular to licences. A multinomial logistic regression over these features tells
 licence families from a class "none"; it is fitted to parts of the templates and to paragraphs without a
 licence (at most ``SAMPLE_ROWS`` lines of the corpus, those with the smallest hash, and a few
@@ -16,12 +19,13 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathgram.llm.common import small, whole, words
@@ -94,12 +98,44 @@ def _words(line: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """Lines with at least one licence word: row, line number, features."""
-    rows = docs.select("row", F.posexplode_outer(F.split(whole("text"), "\n", -1)).alias("at", "line"))
+    """Lines and runs of lines with at least one licence word that can have their share of a template: row, first, last, features."""
+    pairs = {t: {g for g in _pairs(_tokens(t)) if " " in g} for texts in TEMPLATES.values() for t in texts}
+    longest = max(len(_tokens(t)) for t in pairs)
+    fewest = math.ceil(SHARED * min(map(len, pairs.values())))
+    every = F.array(*[F.lit(g) for g in sorted({g for p in pairs.values() for g in p})])
+    used = F.array(*[F.lit(g) for g in sorted({*vocabulary(), *(g for p in pairs.values() for g in p)})])
     marks = F.array(*[F.lit(w) for w in vocabulary() if " " not in w])
-    rows = rows.select("row", "at", _words(F.col("line")).alias("tokens"))
-    rows = rows.filter(F.arrays_overlap("tokens", marks))
-    return rows.select("row", "at", _with_pairs(F.col("tokens")).alias("terms"))
+    # A word that is broken at its hyphen goes to the first of its lines as a whole.
+    joined = F.regexp_replace(whole("text"), r"([A-Za-z]-)\n[^A-Za-z0-9\n]*([A-Za-z]\S*)", "$1$2\n")
+    rows = docs.select("row", F.transform(F.split(joined, "\n", -1), _words).alias("tokens"))
+    rows = rows.select("row", "tokens", F.transform("tokens", lambda t: F.arrays_overlap(t, marks)).alias("marked"))
+    rows = rows.filter(F.exists("marked", lambda x: x))
+    sizes = F.transform("tokens", lambda t: F.size(t))
+    rows = rows.select("row", "tokens", "marked", sizes.alias("sizes"))
+    # Lines that a run from line i can have: up to the first without words, or that which completes the longest template.
+    start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"), F.lit(True).alias("open"))
+    more = lambda a, n: F.when(a["open"] & (n > 0) & (a["words"] < longest), F.struct((a["lines"] + 1).alias("lines"), (a["words"] + n).alias("words"), F.lit(True).alias("open"))).otherwise(
+        F.struct(a["lines"].alias("lines"), a["words"].alias("words"), F.lit(False).alias("open"))
+    )
+    reach = lambda i: F.aggregate(F.slice("sizes", i + 1, longest), start, more, lambda a: a["lines"])
+    rows = rows.select("row", "tokens", "marked", F.transform("sizes", lambda n, i: reach(i)).alias("reach"))
+    run = lambda i, k: F.struct(i.alias("first"), (i + k - 1).alias("last"), F.flatten(F.slice("tokens", i + 1, k)).alias("tokens"))
+    runs = lambda r, i: F.when(r > 0, F.transform(F.filter(F.sequence(F.lit(1), r), lambda k: F.exists(F.slice("marked", i + 1, k), lambda x: x)), lambda k: run(i, k)))
+    found = rows.select("row", F.explode(F.filter(F.transform("reach", runs), lambda x: x.isNotNull())).alias("runs")).select("row", F.explode("runs").alias("run"))
+    found = found.select("row", "run.first", "run.last", F.array_intersect(_with_pairs(F.col("run.tokens")), used).alias("terms"))
+    return found.filter(F.size(F.array_intersect("terms", every)) >= fewest)
+
+
+def licensed_lines(runs: DataFrame) -> DataFrame:
+    """row, at and family of the lines in licensed runs (row, first, last, shared, family)."""
+    longest = max(len(_tokens(t)) for texts in TEMPLATES.values() for t in texts)
+    near = Window.partitionBy("row").orderBy("first").rangeBetween(0, longest)
+    own = runs.dropDuplicates(["row", "first", "last"])
+    own = own.withColumn("near", F.collect_list(F.struct("first", "last", "shared")).over(near))
+    inside = lambda x: (x["last"] <= F.col("last")) & ((x["first"] > F.col("first")) | (x["last"] < F.col("last"))) & (x["shared"] >= F.col("shared"))
+    own = own.filter(~F.exists("near", inside)).select("row", F.explode(F.sequence("first", "last")).alias("at"), "first", "last", "shared", "family")
+    best = F.min_by("family", F.struct(-F.col("shared"), F.col("last") - F.col("first"), F.col("first")))
+    return own.groupBy("row", "at").agg(best.alias("family"))
 
 
 def _with_pairs(tokens: Column) -> Column:
@@ -185,7 +221,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     sample = sample.orderBy(code, "line").limit(SAMPLE_ROWS).select(_words(F.col("line")).alias("tokens")).select(_with_pairs(F.col("tokens")).alias("terms"))
     classifier = Classifier(spark, materialise(sample, "licence-sample"))
     judged = classifier.judged(found).filter(F.col("family") != NONE)
-    lines = judged.groupBy("row", "at").agg(F.first("family").alias("family"))
+    lines = licensed_lines(judged.select("row", "first", "last", "shared", "family"))
     by_row = lines.groupBy("row").agg(F.count(F.lit(1)).alias("n_licensed"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
     by_row = by_row.select(F.col("row.doc_id").alias("__id"), F.col("row.code").alias("__code"), "n_licensed", "families")
     lines = F.size(F.split(whole("text"), "\n", -1)).cast("long")

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import textwrap
 
 from pyspark.sql import functions as F
 
@@ -36,6 +37,19 @@ def test_licences_in_awkward_rows(spark):
     assert scan_licences(frame(spark, [])).count() == 0
 
 
+def test_wrapped_notices_of_every_family(spark):
+    rows, want = [], {}
+    for family, texts in TEMPLATES.items():
+        text = max(texts, key=len)
+        for width in (24, 40, 68):
+            lines = textwrap.wrap(text, width)
+            want[len(rows)] = (family, len(lines))
+            rows.append((len(rows), "\n".join(["Some words come first here", "", *[f"# {x}" for x in lines], "", "and others end it"]), "s"))
+    got = {r.doc_id: r for r in scan_licences(frame(spark, rows)).collect()}
+    assert {d: r.families for d, r in got.items()} == {d: family for d, (family, _) in want.items()}
+    assert all(r.n_licensed <= want[d][1] for d, r in got.items())
+
+
 def test_classifier_on_held_out_paragraphs(spark):
     classifier = Classifier(spark, spark.createDataFrame([], "terms array<string>"))
     judged = classifier.judged(classifier.held.drop("logits").withColumnRenamed("family", "truth"))
