@@ -9,6 +9,7 @@ from pathgram.llm.common import load
 from pathgram.llm.exact_dedup import exact_duplicates
 from pathgram.llm.licences import scan_licences
 from pathgram.llm.line_dedup import remove_repeated_lines
+from pathgram.llm.manifest import manifest
 from pathgram.llm.mixing import fair_queue
 from pathgram.llm.ngram_join import ngram_components
 from pathgram.llm.packing import pack_documents
@@ -166,3 +167,47 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM h
 @query("op10_progressive_exact_dedup", OP10_SQL)
 def op10_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"), digest=True)
+
+
+def _manifest_sql(inside: int = 6, over: int = 4) -> str:
+    """The manifest level by level, for up to 16 ** inside rows a source and 16 ** over sources."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = field.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    checksum = ("xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), "
+                "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT)")
+    parts = [
+        f"d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, source, sha256({head} || {field.format('text')}) AS leaf, "
+        f"CASE WHEN {checksum} % 5 = 0 THEN sha256({head} || {lowered}) END AS changed FROM documents)",
+        "o AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM d))",
+        "e AS MATERIALIZED (SELECT d.*, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, "
+        "count(*) OVER (PARTITION BY tree) AS total FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source)",
+        "a0 AS (SELECT tree, idx, leaf AS node, total FROM e)",
+    ]
+
+    def tree(name: str, depth: int) -> None:
+        for k in range(depth):
+            parts.append(f"{name}s{k} AS MATERIALIZED (SELECT x.tree, x.idx, x.total, coalesce(string_agg(y.node, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS l, "
+                         f"coalesce(string_agg(y.node, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS r FROM {name}{k} x JOIN {name}{k} y "
+                         "ON x.tree = y.tree AND x.idx // 16 = y.idx // 16 GROUP BY x.tree, x.idx, x.total)")
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, idx // 16 AS idx, CASE WHEN total = 1 THEN min(node) ELSE sha256(string_agg(node, '' ORDER BY idx)) END AS node, "
+                         f"(total + 15) // 16 AS total FROM {name}{k} GROUP BY tree, idx // 16, total)")
+
+    tree("a", inside)
+    parts.append(f"b0 AS (SELECT 0 AS tree, tree AS idx, node, count(*) OVER () AS total FROM a{inside})")
+    tree("b", over)
+    parts.append(f"f0 AS (SELECT row, doc_id, leaf, tree, idx, coalesce(changed, leaf) AS h, '' AS p FROM e)")
+    steps = [("a", k, "f.tree", f"f.idx // {16 ** k}") for k in range(inside)] + [("b", k, "0", f"f.tree // {16 ** k}") for k in range(over)]
+    for n, (name, k, of, at) in enumerate(steps):
+        parts.append(f"f{n + 1} AS MATERIALIZED (SELECT f.row, f.doc_id, f.leaf, f.tree, f.idx, CASE WHEN s.total = 1 THEN f.h ELSE sha256(s.l || f.h || s.r) END AS h, "
+                     f"f.p || s.l || s.r AS p FROM f{n} f JOIN {name}s{k} s ON s.tree = {of} AND s.idx = {at})")
+    return (f"WITH {', '.join(parts)} SELECT f.doc_id, f.leaf, b0.node AS subroot, t.node AS root, sha256(f.p) AS proof_sha256, f.h AS folded_root, "
+            f"f.h = t.node AS verified FROM f{len(steps)} f JOIN b0 ON b0.idx = f.tree, b{over} t")
+
+
+OP13_SQL = _manifest_sql()
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(load(spark, sf_dir, "documents"))
