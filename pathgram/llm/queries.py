@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathgram.llm.common import load
 from pathgram.llm.exact_dedup import exact_duplicates
+from pathgram.llm.lexical import build_index, search
 from pathgram.llm.licences import scan_licences
 from pathgram.llm.line_dedup import remove_repeated_lines
 from pathgram.llm.manifest import manifest
@@ -169,6 +170,27 @@ def op10_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"), digest=True)
 
 
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+n AS MATERIALIZED (SELECT r, doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+p AS MATERIALIZED (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, c GROUP BY term, docs),
+i AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT i, item_id, p.r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN p USING (term) JOIN n ON n.r = p.r, c GROUP BY i, item_id, p.r, doc_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM t WHERE rank <= 20
+"""
+
+
+@query("op12_block_max_search", OP12_SQL)
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"))
+
+
 def _manifest_sql(inside: int = 6, over: int = 4) -> str:
     """The manifest level by level, for up to 16 ** inside rows a source and 16 ** over sources."""
     field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
