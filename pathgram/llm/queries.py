@@ -15,6 +15,7 @@ from pathgram.llm.mixing import fair_queue
 from pathgram.llm.ngram_join import ngram_components
 from pathgram.llm.packing import pack_documents
 from pathgram.llm.pii import KINDS, find_personal_data, spelled
+from pathgram.llm.pivot_index import top_products
 from pathgram.llm.rules import judge
 from pathgram.llm.site_quality import site_quality
 from pathgram.llm.token_files import token_table
@@ -170,6 +171,21 @@ def op10_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"), digest=True)
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+v AS MATERIALIZED (SELECT r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM d),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
+
+
+@query("op11_pivot_distance_search", OP11_SQL)
+def op11_pivot_distance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(load(spark, sf_dir, "embeddings"))
+
+
 OP12_SQL = r"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
