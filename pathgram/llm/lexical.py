@@ -36,7 +36,7 @@ BLOCK = 128
 #: Pages of a shard's dictionary.
 PAGES = 32
 #: Bytes of text of a shard; a longer document is a shard of its own.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 #: Items of a group.
 GROUP = 512
 #: Terms of a page that are counted at a time.
@@ -96,7 +96,7 @@ def build_shard(shard: int, ids: pa.Array, texts: pa.Array) -> list[tuple]:
     starts = np.flatnonzero(np.diff(key, prepend=-1))
     tf = np.diff(starts, append=len(key))
     term, doc = np.divmod(key[starts], n)
-    del key
+    del key, flat, coded, rank
     # Postings of a term, cut into blocks.
     first = np.flatnonzero(np.diff(term, prepend=-1))
     df = np.diff(first, append=len(term))
