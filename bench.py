@@ -77,7 +77,7 @@ def main() -> None:
     clock("moments_lineitem", lambda: run(moment_table(line.select("l_returnflag", *measures), measures, ["l_returnflag"])))
     features = ["n_orders", "n_lines", "qty", "acctbal"]
     clock("sobol_8192", lambda: run(sensitivity.sobol(fx, features, trees.formula_predictor(FORM), 13)))
-    clock("trees_20", lambda: run(trees.train_trees(fx, features, "revenue", "case_id", None, {"maxIter": 20}, 2).predictions))
+    clock("trees_20", lambda: run(trees.train_trees(fx, features, "revenue", "case_id", None, {"n_estimators": 20}, 2).predictions))
 
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,

@@ -14,6 +14,10 @@ from pathgram.functions.hashing import lane_array
 from pathgram.functions.ordering import bucket_of, exact_quantiles
 from pathgram.operators.trees import Predictor
 
+#: Features up to which all coalitions are listed; beyond, orders are drawn. Trees need neither: see ``boxes.tree_shapley``.
+MOST_EXACT = 12
+
+
 def coalition_design(d: int, permutations: int | None = None, seed: int = 42) -> dict[int, list[float]]:
     """mask -> coefficient per feature, so that phi = sum over masks of coefficient x value.
 
@@ -21,6 +25,8 @@ def coalition_design(d: int, permutations: int | None = None, seed: int = 42) ->
     """
     design: dict[int, list[float]] = {}
     if permutations is None:
+        if d > MOST_EXACT:
+            raise ValueError(f"{d} features have too many coalitions; give the number of permutations")
         for size in range(d + 1):
             for members in combinations(range(d), size):
                 mask = sum(1 << i for i in members)

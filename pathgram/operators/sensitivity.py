@@ -1,8 +1,7 @@
-"""Variance-based sensitivity, directional impact and response optimum of a predictor."""
+"""Variance-based sensitivity and directional impact of a predictor."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +17,6 @@ POWERS = (5, 7, 9, 11, 13)
 GRID_POINTS = 100
 CONFIDENCE_Z = 1.959963984540054
 RESAMPLES = 100
-CORNER_FEATURES = 10  # all corners of the first ten features seed the search; the others start low
-GRID_STEPS = 8
 WIDTH = 1e-6  # of the box in a constant feature
 
 
@@ -151,77 +148,3 @@ def directional_impact(curves: DataFrame) -> DataFrame:
     for c in reversed(CLASSES):  # the first of equal shares wins
         dominant = F.when(F.col(c) == top, F.lit(c)).otherwise(dominant)
     return table.select("feature", dominant.alias("dominant"), *CLASSES)
-
-
-def _candidates(df: DataFrame, features: Sequence[str], ends, points: int) -> DataFrame:
-    """Corners of the box and low-discrepancy points inside it; whole-numbered features stay whole."""
-    spark, d = df.sparkSession, len(features)
-    corners = 2 ** min(d, CORNER_FEATURES)
-    steps = alphas(d)
-    i = F.col("id")
-    columns = []
-    for k, (f, (lo, hi, whole)) in enumerate(zip(features, ends)):
-        inner = F.lit(lo) + low_discrepancy(i - corners, steps[k]) * F.lit(hi - lo)
-        corner = F.when(F.shiftright(i, min(k, 62)).bitwiseAND(1) == 1, F.lit(hi)).otherwise(F.lit(lo))
-        value = F.when(i < corners, corner).otherwise(inner)
-        columns.append((F.rint(value) if whole else value).alias(f))
-    return spark.range(corners + points).select(*columns)
-
-
-def _bounds(df: DataFrame, features: Sequence[str], whole: bool) -> list[tuple[float, float, bool]]:
-    """(low, high, whole-numbered) of the search box. A whole-numbered feature keeps to whole numbers inside its range."""
-    out = []
-    for low, high, is_whole in box(df, features):
-        first, last = float(math.ceil(low)), float(math.floor(high))
-        out.append((first, last, True) if whole and is_whole and first <= last else (low, high if high > low else low + WIDTH, False))
-    return out
-
-
-def _climb(spark, features: Sequence[str], predictor: Predictor, ends, best: dict, goal: str, rounds: int) -> dict:
-    """Coordinate search from a point: each round tries every feature on a grid over its range, and all gains at once."""
-    sign = -1.0 if goal == "min" else 1.0
-    schema = "moved int, " + ", ".join(f"`{f}` double" for f in features)
-    width = [hi - lo for lo, hi, _ in ends]
-    for turn in range(rounds):
-        rows = []
-        for k, (lo, hi, is_whole) in enumerate(ends):
-            reach = width[k] * 0.5 ** max(0, turn - 1)
-            for step in range(GRID_STEPS + 1):
-                v = min(hi, max(lo, best[features[k]] + (step / GRID_STEPS - 0.5) * 2 * reach))
-                rows.append((k, *[float(round(v)) if is_whole and f == features[k] else v if f == features[k] else best[f] for f in features]))
-        scored = predictor(spark.createDataFrame(rows, schema)).select("moved", "prediction", *[col(f) for f in features]).collect()
-        gains = [max((r for r in scored if r["moved"] == k), key=lambda r: sign * r["prediction"]) for k in range(len(features))]
-        joint = {f: g[f] if sign * g["prediction"] > sign * best["prediction"] else best[f] for f, g in zip(features, gains)}
-        one = predictor(spark.createDataFrame([(-1, *[joint[f] for f in features])], schema)).first()
-        top = max([*gains, one], key=lambda r: sign * r["prediction"])
-        if sign * top["prediction"] <= sign * best["prediction"]:
-            if turn > 1:
-                break
-            continue
-        best = {"prediction": top["prediction"], **{f: top[f] for f in features}}
-    return best
-
-
-def response_optimum(df: DataFrame, features: Sequence[str], predictor: Predictor, points: int = 4096,
-                     zooms: int = 3, whole: bool = True, climbs: int = 12) -> DataFrame:
-    """(goal, value, features...): smallest and largest prediction in the observed box.
-
-    Low-discrepancy points cover the box, then ever smaller boxes around the best point; a coordinate
-    search of up to ``climbs`` rounds finishes, with as many points as features times a grid.
-    """
-    features, spark = list(features), df.sparkSession
-    bounds = _bounds(df, features, whole)
-    rows = []
-    for goal, pick in (("min", F.min_by), ("max", F.max_by)):
-        best, ends = None, bounds
-        for turn in range(zooms + 1):
-            spot = F.struct("prediction", *[col(f) for f in features])
-            found = predictor(_candidates(df, features, ends, points)).agg(pick(spot, "prediction").alias("s")).first()["s"].asDict()
-            if best is None or (found["prediction"] < best["prediction"]) == (goal == "min"):
-                best = found
-            half = [(hi - lo) * 0.25 ** (turn + 1) / 2 for lo, hi, _ in bounds]
-            near = [(max(lo, best[f] - h), min(hi, best[f] + h), w) for f, h, (lo, hi, w) in zip(features, half, bounds)]
-            ends = [(float(round(lo)), float(round(hi)), True) if w else (lo, hi, False) for lo, hi, w in near]
-        best = _climb(spark, features, predictor, bounds, best, goal, climbs)
-        rows.append((goal, float(best["prediction"]), *[float(best[f]) for f in features]))
-    return spark.createDataFrame(rows, "goal string, value double, " + ", ".join(f"`{f}` double" for f in features))

@@ -1,38 +1,27 @@
-"""Boosted-tree regression with MLlib: training, validation, importance, prediction."""
+"""Boosted-tree regression: training, validation, grid search, importance, prediction."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from itertools import product
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathgram.functions.columns import col
 from pathgram.functions.hashing import lane
+from pathgram.operators.boosting import GRID, MAX_BINS, Forest, Settings, boost, search_grid
 from pathgram.operators.prepare import feature_target, train_test
-from pathgram.session import scratch_root
+from pathgram.session import discard, materialise
 
 Predictor = Callable[[DataFrame], DataFrame]
 
-# Quick settings and the tone of R squared.
-QUICK = {"maxDepth": 3, "stepSize": 0.05, "maxIter": 300, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+# The tone of R squared.
 TONE_GOOD, TONE_FAIR = 0.75, 0.5
 
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-
-
-def model_predictor(model: GBTRegressionModel, features: Sequence[str]) -> Predictor:
-    """Adds ``prediction`` to any table with the feature columns."""
-    return lambda df: model.transform(assembled(df, features)).drop("features")
-
-
 def formula_predictor(formula: str | Column) -> Predictor:
     expr = F.expr(formula) if isinstance(formula, str) else formula
     return lambda df: df.withColumn("prediction", expr.cast("double"))
@@ -56,58 +45,72 @@ def tone(r2: Column) -> Column:
 
 @dataclass
 class TreeFit:
-    model: GBTRegressionModel
+    model: Forest
     features: list[str]
     target: str
     params: dict
     validation: DataFrame  # part, r2, rmse, mae: train, test and the fold mean
     predictions: DataFrame  # case_id, part, actual, prediction
-    importance: DataFrame  # feature, percent
+    importance: DataFrame  # feature, splits, gain, percent (of mean gain a split), percent_total (of total gain)
 
     def predictor(self) -> Predictor:
-        return model_predictor(self.model, self.features)
+        return self.model.predictor()
+
+
+def modelling_parts(df: DataFrame, features: Sequence[str], target: str, case_id: str, folds: int, test_share: float, seed: int) -> DataFrame:
+    """Complete rows with part (train, test) and fold of the training part (-1 elsewhere)."""
+    table = train_test(feature_target(df, features, target, [case_id]), case_id, test_share, seed)
+    fold = F.when(F.col("part") == "train", (lane(col(case_id), 1, seed) % max(1, folds)).cast("int")).otherwise(-1)
+    return materialise(table.withColumn("fold", fold), "tree-parts")
+
+
+def grid_points(grid: dict, params: dict | None = None) -> list[Settings]:
+    return [Settings(**{**(params or {}), **dict(zip(grid, values))}) for values in product(*grid.values())]
+
+
+def best_point(scores: np.ndarray) -> int:
+    """The first point with the largest mean R squared."""
+    return int(np.where(np.isnan(scores[:, 0]), -np.inf, scores[:, 0]).argmax())
 
 
 def train_trees(df: DataFrame, features: Sequence[str], target: str, case_id: str, grid: dict | None = None,
-                params: dict | None = None, folds: int = 5, test_share: float = 0.2, seed: int = 42,
-                parallelism: int = 2) -> TreeFit:
-    """Fit on the training part; every grid point is cross-validated on key-hashed folds, best by R squared."""
-    features = list(features)
-    spark = df.sparkSession
-    scratch_root(spark)  # MLlib checkpoints its boosting rounds there
-    table = feature_target(df, features, target, [case_id])
-    table = assembled(train_test(table, case_id, test_share, seed), features)
-    table = table.withColumn("fold", (lane(col(case_id), 1, seed) % folds).cast("int"))
-    train = table.filter("part = 'train'").persist()  # MLlib reads it once per tree level
-    booster = GBTRegressor(featuresCol="features", labelCol=target, seed=seed, **{**QUICK, **(params or {})})
-    points = ParamGridBuilder()
-    for name, values in (grid or {}).items():
-        points = points.addGrid(booster.getParam(name), values)
-    search = CrossValidator(
-        estimator=booster, estimatorParamMaps=points.build(),
-        evaluator=RegressionEvaluator(labelCol=target, metricName="r2"),
-        foldCol="fold", numFolds=folds, parallelism=parallelism, collectSubModels=True,
-    ).fit(train)
-    best = max(range(len(search.avgMetrics)), key=lambda k: search.avgMetrics[k])
-    scored = search.bestModel.transform(table)
-    predictions = scored.select(col(case_id).alias("case_id"), "part", col(target).alias("actual"), "prediction")
-    held = None
-    for k in range(folds):
-        part = search.subModels[k][best].transform(train.filter(F.col("fold") == k)).select("fold", col(target).alias("actual"), "prediction")
-        held = part if held is None else held.unionByName(part)
-    by_fold = regression_metrics(held, "actual", keys=["fold"])
-    rows = [("cv", *by_fold.agg(F.avg("r2"), F.avg("rmse"), F.avg("mae")).first())]
+                params: dict | None = None, folds: int = 5, test_share: float = 0.2, seed: int = 42, max_bins: int = MAX_BINS) -> TreeFit:
+    """Fit on the training part. With a grid every point is validated on key-hashed folds and the best by R squared is
+    fitted; without one the folds grow beside the model."""
+    features, spark = list(features), df.sparkSession
+    table = modelling_parts(df, features, target, case_id, folds, test_share, seed)
+    settings = Settings(**(params or {}))
+    if grid:
+        points = grid_points(grid, params)
+        scores = search_grid(table, features, target, case_id, points, folds, seed, max_bins)
+        at = best_point(scores)
+        settings, cv = points[at], scores[at]
+        forest, _ = boost(table, features, target, case_id, settings, 0, seed, max_bins)
+    else:
+        forest, by_fold = boost(table, features, target, case_id, settings, folds, seed, max_bins)
+        cv = by_fold.mean(axis=0)
+    scored = forest.predictor()(table).select(col(case_id).alias("case_id"), "part", col(target).alias("actual"), "prediction")
+    predictions = materialise(scored, "tree-predictions")
+    discard(table)
+    rows = [("cv", *(None if np.isnan(v) else float(v) for v in cv))]
     rows += [(r["part"], r["r2"], r["rmse"], r["mae"]) for r in regression_metrics(predictions, "actual", keys=["part"]).collect()]
-    train.unpersist()
-    weights = search.bestModel.featureImportances.toArray()
-    total = float(weights.sum()) or 1.0
-    importance = spark.createDataFrame(
-        [(f, 100.0 * float(w) / total) for f, w in zip(features, weights)], "feature string, percent double")
-    chosen = {p.name: v for p, v in search.getEstimatorParamMaps()[best].items()}
-    return TreeFit(search.bestModel, features, target, {**QUICK, **(params or {}), **chosen},
-                   spark.createDataFrame(rows, "part string, r2 double, rmse double, mae double"), predictions, importance)
+    return TreeFit(forest, features, target, asdict(settings), spark.createDataFrame(rows, "part string, r2 double, rmse double, mae double"),
+                   predictions, gain_importance(spark, forest))
+
+
+def gain_importance(spark, forest: Forest) -> DataFrame:
+    """(feature, splits, gain, percent, percent_total); unused features have zeros."""
+    gains = forest.gains()
+    means = [g / n if n else 0.0 for _, n, g in gains]
+    of_means, of_all = sum(means) or 1.0, sum(g for *_, g in gains) or 1.0
+    rows = [(f, n, g, 100.0 * m / of_means, 100.0 * g / of_all) for (f, n, g), m in zip(gains, means)]
+    return spark.createDataFrame(rows, "feature string, splits long, gain double, percent double, percent_total double")
 
 
 def top_features(importance: DataFrame, value: str = "percent", k: int = 3) -> DataFrame:
     """The k strongest features; the table has one row per feature."""
     return importance.orderBy(F.col(value).desc(), "feature").limit(k)
+
+
+__all__ = ["GRID", "Forest", "Settings", "TreeFit", "best_point", "formula_predictor", "gain_importance", "grid_points", "modelling_parts",
+           "regression_metrics", "tone", "top_features", "train_trees"]

@@ -20,7 +20,6 @@ FORM = ("25000 + 36000 * n_lines + 2.0 * n_lines * qty + 5 * n_lines * n_lines +
 CANDIDATES = [(1, "1500000.0"), (3, "52000 * n_lines"), (5, "40000 + 52000 * n_lines"), (7, "1500 * qty + 100 * n_orders"),
               (9, "700 * qty + 26000 * n_lines"), (11, "700 * qty + 26000 * n_lines + square(n_orders)"),
               (12, "log_abs(qty) * 100000 + sqrt_abs(n_lines) * 100000")]
-TRAINING = {"maxIter": 8, "stepSize": 0.3}
 
 
 def modelling(spark, sf):
@@ -28,30 +27,10 @@ def modelling(spark, sf):
     return materialise(feature_target(fx, FEATURES, TARGET, ["case_id"]), "modelling")
 
 
-def fitted(spark, sf, grid=None, folds=2):
-    return TR.train_trees(modelling(spark, sf), FEATURES, TARGET, "case_id", grid, TRAINING, folds)
-
-
 MODEL = "md AS MATERIALIZED (SELECT case_id, n_orders, n_lines, qty, acctbal, revenue FROM fx WHERE n_orders IS NOT NULL AND n_lines IS NOT NULL AND revenue IS NOT NULL)"
 WITH = f"WITH {S.FX}, {MODEL}"
 
 
-@query("g01_boosted_trees")
-def boosted_trees(spark, sf):
-    return rounded(fitted(spark, sf).predictions, 4)
-
-
-@query("g02_grid_search")
-def grid_search(spark, sf):
-    fit = fitted(spark, sf, {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]})
-    return spark.createDataFrame([(k, str(v)) for k, v in sorted(fit.params.items())], "parameter string, chosen string")
-
-
-@query("g03_cross_validation")
-def cross_validation(spark, sf):
-    return rounded(fitted(spark, sf, folds=3).validation, 4)
-
-
 @query("g04_prediction_metrics", WITH + f""", pr AS (SELECT revenue AS actual, {FORM} AS prediction,
        CASE WHEN ({S.lane_sql('case_id', '0', 42)}) / 2147483647.0 < 0.2 THEN 'test' ELSE 'train' END AS part FROM md)
        SELECT part, count(*) AS n, {r('1 - sum(power(actual - prediction, 2)) / (var_pop(actual) * count(*))')} AS r2,
@@ -63,31 +42,6 @@ def prediction_metrics(spark, sf):
     return rounded(TR.regression_metrics(scored, TARGET, keys=["part"]), rmse=2, mae=2)
 
 
-@query("g05_gain_importance")
-def gain_importance(spark, sf):
-    return rounded(fitted(spark, sf).importance, 4)
-
-
-@query("d07_top_features", WITH + "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, round(abs(corr({f}, revenue)) * 100, 4) + 0.0 AS percent FROM md" for f in FEATURES)
-    + ") ORDER BY percent DESC LIMIT 3")
-def top_features(spark, sf):
-    strength = modelling(spark, sf).agg(*[F.abs(F.corr(f, TARGET)).alias(f) for f in FEATURES])
-    table = strength.unpivot([], FEATURES, "feature", "percent").withColumn("percent", F.col("percent") * 100)
-    return rounded(TR.top_features(table), 4)
-
-
-def tree_attribution(spark, sf):
-    df = modelling(spark, sf)
-    fit = TR.train_trees(df, FEATURES, TARGET, "case_id", None, TRAINING, 2)
-    return AT.shapley(df, FEATURES, fit.predictor(), "case_id", background=4)
-
-
-@query("g06_shapley_trees")
-def shapley_trees(spark, sf):
-    return rounded(tree_attribution(spark, sf), 3)
-
-
 # For a linear predictor the Shapley value has a closed form: slope x (value - background mean).
 LINEAR = "26000 * n_lines + 700 * qty - 50 * n_orders + 3 * acctbal"
 SLOPES = {"n_lines": 26000, "qty": 700, "n_orders": -50, "acctbal": 3}
@@ -162,11 +116,11 @@ def _lds(index: str, alpha: float) -> str:
 
 DESIGN = BOX + ", sp AS MATERIALIZED (SELECT i, w, " + ", ".join(
     f"lo_{f} + CASE WHEN w = -1 OR w = {k} THEN {_lds('i', A8[4 + k])} ELSE {_lds('i', A8[k])} END * (hi_{f} - lo_{f}) AS {f}"
-    for k, f in enumerate(FEATURES)) + " FROM bx, (SELECT unnest(range(2048)) AS i), (SELECT unnest(range(-2, 4)) AS w))"
+    for k, f in enumerate(FEATURES)) + " FROM bx, (SELECT unnest(range(8192)) AS i), (SELECT unnest(range(-2, 4)) AS w))"
 SOBOL = DESIGN + f""", yy AS MATERIALIZED (SELECT i, w, {FORM} AS y FROM sp),
 wy AS (SELECT i, max(y) FILTER (w = -2) AS a, max(y) FILTER (w = -1) AS b, max(y) FILTER (w = 0) AS y0, max(y) FILTER (w = 1) AS y1,
        max(y) FILTER (w = 2) AS y2, max(y) FILTER (w = 3) AS y3 FROM yy GROUP BY i),
-pw AS MATERIALIZED (SELECT p AS power, wy.* FROM wy, (SELECT unnest([5, 7, 9, 11]) AS p) WHERE i < power(2, p)),
+pw AS MATERIALIZED (SELECT p AS power, wy.* FROM wy, (SELECT unnest([5, 7, 9, 11, 13]) AS p) WHERE i < power(2, p)),
 ce AS (SELECT power, (avg(a) + avg(b)) / 2 AS c, (avg(a * a) + avg(b * b)) / 2 - power((avg(a) + avg(b)) / 2, 2) AS v FROM pw GROUP BY power),
 ix AS MATERIALIZED ({" UNION ALL ".join(
     f"SELECT pw.power, '{f}' AS feature, avg((b - c) * (y{k} - a)) / any_value(v) AS s1, avg(power(a - y{k}, 2)) / 2 / any_value(v) AS st "
@@ -174,7 +128,7 @@ ix AS MATERIALIZED ({" UNION ALL ".join(
 
 
 def sobol_formula(spark, sf):
-    return SN.sobol(modelling(spark, sf), FEATURES, TR.formula_predictor(FORM), 11, resamples=20)
+    return SN.sobol(modelling(spark, sf), FEATURES, TR.formula_predictor(FORM), 13)
 
 
 @query("g09_sobol_formula", WITH + SOBOL + "SELECT power, feature, round(s1, 5) + 0.0 AS s1, round(st, 5) + 0.0 AS st, "
@@ -183,15 +137,8 @@ def sobol_indices(spark, sf):
     return rounded(sobol_formula(spark, sf).select("power", "feature", "s1", "st", "interaction"), 5)
 
 
-@query("g09_sobol_trees")
-def sobol_trees(spark, sf):
-    df = modelling(spark, sf)
-    fit = TR.train_trees(df, FEATURES, TARGET, "case_id", None, TRAINING, 2)
-    return rounded(SN.sobol(df, FEATURES, fit.predictor(), 9, resamples=20), 5)
-
-
 @query("d07_most_sensitive", WITH + SOBOL + "SELECT arg_max(feature, st) AS feature, round(max(st), 5) + 0.0 AS st, "
-       "round(sum(st - s1), 5) + 0.0 AS total_interaction FROM ix WHERE power = 11")
+       "round(sum(st - s1), 5) + 0.0 AS total_interaction FROM ix WHERE power = 13")
 def most_sensitive(spark, sf):
     return rounded(SN.most_sensitive(sobol_formula(spark, sf)), 5)
 
@@ -234,28 +181,6 @@ def directional_impact(spark, sf):
     return SN.directional_impact(curves(spark, sf))
 
 
-A4 = SN.alphas(4)
-WHOLE = {"n_orders", "n_lines", "qty"}
-OPT = BOX + ", cd AS MATERIALIZED (SELECT i, " + ", ".join(
-    ("round_even(" if f in WHOLE else "(") + f"CASE WHEN i < 16 THEN CASE WHEN (i >> {k}) & 1 = 1 THEN hi_{f} ELSE lo_{f} END "
-    f"ELSE lo_{f} + {_lds('(i - 16)', A4[k])} * (hi_{f} - lo_{f}) END" + (", 0)" if f in WHOLE else ")") + f" AS {f}"
-    for k, f in enumerate(FEATURES)) + f" FROM bx, (SELECT unnest(range(2016)) AS i)), vd AS MATERIALIZED (SELECT *, {FORM} AS y FROM cd)"
-
-
-@query("g11_response_optimum", WITH + OPT + " UNION ALL ".join(
-    f" SELECT '{g}' AS goal, round({g}(y), 2) + 0.0 AS value, " + ", ".join(f"round(arg_{g}({f}, y), 2) + 0.0 AS {f}" for f in FEATURES) + " FROM vd"
-    for g in ("min", "max")))
-def response_optimum(spark, sf):
-    return rounded(SN.response_optimum(modelling(spark, sf), FEATURES, TR.formula_predictor(FORM), 2000, zooms=0, climbs=0), 2)
-
-
-@query("g11_response_optimum_trees")
-def response_optimum_trees(spark, sf):
-    df = modelling(spark, sf)
-    fit = TR.train_trees(df, FEATURES, TARGET, "case_id", None, TRAINING, 2)
-    return rounded(SN.response_optimum(df, FEATURES, fit.predictor(), 1024, zooms=1), 2)
-
-
 @query("g12_feature_bounds", WITH + " UNION ALL ".join(
     f" SELECT '{f}' AS feature, round(min({f}), 2) + 0.0 AS low, round(max({f}), 2) + 0.0 AS high, count(*) AS n, "
     f"min({f}) = max({f}) AS constant, count(*) < 20 AS few_rows FROM md" for f in FEATURES))
@@ -263,11 +188,6 @@ def feature_bounds(spark, sf):
     return rounded(bounds_table(modelling(spark, sf), FEATURES), 2)
 
 
-@query("g13_predictor_switch", WITH + f" SELECT case_id, round({FORM}, 2) + 0.0 AS prediction FROM md")
-def predictor_switch(spark, sf):
-    return rounded(TR.formula_predictor(FORM)(modelling(spark, sf)).select("case_id", "prediction"), 2)
-
-
 @query("g14_r2_tone", WITH + LOSS + "SELECT complexity, CASE WHEN 1 - loss / spread >= 0.75 THEN 'good' WHEN 1 - loss / spread >= 0.5 "
        "THEN 'fair' ELSE 'bad' END AS tone FROM ls")
 def r2_tone(spark, sf):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathgram.functions.hashing import lane, lane_array
 from pathgram.functions.ordering import number_cases
-from pathgram.operators import attribution, predict, profile, sensitivity, trees
+from pathgram.operators import attribution, optimum, predict, profile, trees
 from pathgram.operators.fit import fit_by
 from pathgram.operators.moments import moment_parts, moments
 from pathgram.sources import readers
@@ -69,7 +69,7 @@ def test_grouping_columns_without_any(spark):
 def test_optimum_of_wide_models(spark, d):
     names = [f"x{k}" for k in range(d)]
     df = spark.createDataFrame([tuple([0.0] * d), tuple([5.0] * d), tuple([2.5] * d)], ", ".join(f"{n} double" for n in names))
-    out = {r.goal: r for r in sensitivity.response_optimum(df, names, trees.formula_predictor(" + ".join(names)), 512, 1).collect()}
+    out = {r.goal: r for r in optimum.response_optimum(df, names, trees.formula_predictor(" + ".join(names)), points=512, generations=4).collect()}
     assert out["min"].value == pytest.approx(0.0) and out["max"].value == pytest.approx(5.0 * d)
 
 

@@ -15,14 +15,14 @@ def table(fx):
 
 @pytest.fixture(scope="module")
 def fitted(table):
-    return trees.train_trees(table, FEATURES, TARGET, "case_id", {"maxDepth": [2, 3]}, {"maxIter": 5, "stepSize": 0.3}, folds=2)
+    return trees.train_trees(table, FEATURES, TARGET, "case_id", {"max_depth": [2, 3]}, {"n_estimators": 5, "learning_rate": 0.3}, folds=2)
 
 
 def test_trees_learn_the_signal(fitted):
     got = {r["part"]: r for r in fitted.validation.collect()}
     assert set(got) == {"train", "test", "cv"} and got["train"]["r2"] > 0.5 and got["cv"]["r2"] > 0.2
     assert abs(sum(r["percent"] for r in fitted.importance.collect()) - 100) < 1e-6
-    assert fitted.params["maxDepth"] in (2, 3)
+    assert fitted.params["max_depth"] in (2, 3)
 
 
 def test_attribution_adds_up(table, fitted):
@@ -48,6 +48,13 @@ def test_sobol_of_an_additive_function(spark):
     assert abs(got["a"]["s1"] - 0.2) < 0.02 and abs(got["b"]["st"] - 0.8) < 0.02 and abs(got["c"]["st"]) < 1e-9
 
 
+def test_coalitions_of_many_features_need_draws(spark):
+    names = [f"x{k}" for k in range(13)]
+    df = spark.range(2).select("id", *[F.lit(1.0).alias(n) for n in names])
+    with pytest.raises(ValueError, match="permutations"):
+        attribution.shapley(df, names, trees.formula_predictor("x0"), "id")
+
+
 def test_directional_impact(spark):
     df = spark.createDataFrame([(0.0, 0.0, 5.0), (1.0, 1.0, 5.0)], "a double, b double, c double")
     curves = sensitivity.response_curves(df, ["a", "b", "c"], trees.formula_predictor("a * a - sqrt(b + 0.01)"))
@@ -63,14 +70,6 @@ def test_gradient_equals_numpy(spark):
     assert np.allclose(got, np.gradient(y, 0.5))
 
 
-def test_optimum(spark):
-    df = spark.createDataFrame([(0, 0.0), (5, 0.5), (10, 1.0)], "whole int, part double")
-    text = "(whole - 3) * (whole - 3) + (part - 0.4) * (part - 0.4)"
-    out = {r["goal"]: r for r in sensitivity.response_optimum(df, ["whole", "part"], trees.formula_predictor(text), 2000, 3).collect()}
-    assert out["min"]["whole"] == 3.0 and abs(out["min"]["part"] - 0.4) < 0.01
-    assert out["max"]["whole"] == 10.0 and out["max"]["part"] == 1.0
-
-
 def test_formula_front(spark):
     # Complexity and loss of a published nine-formula front.
     front = [(1, 2.5333085), (3, 0.4200054), (5, 0.3142199), (6, 0.23504539), (7, 0.21909466),
