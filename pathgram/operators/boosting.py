@@ -2,13 +2,14 @@
 
 Features are binned once. A cell is a block of rows times a batch of models: bins (one byte a value), target, fold and
 the models' margins. Every level of a round is one pass over the cells: each task fills (model, node, feature, bin)
-sums of gradients and counts, sums of a batch are merged where there is more than one block, and the best splits are
-found on the executors. Only splits come to the driver, and margins move on in place. All models of a run share the
-passes: the folds of a validation, or a whole parameter grid, of which only running scores are kept.
+sums of gradients and counts, sums of a batch are merged in two levels, and the best splits are found on the executors.
+Only splits come to the driver, and margins move on in place. All models of a run share the passes: the folds of a
+validation, or a whole parameter grid, of which only running scores are kept. Where a batch has one block (a table of up
+to ``BLOCK`` rows) there is nothing to merge, so its task goes on to the next level and round by itself.
 
 The passes use RDD partitions. A round has as many passes as levels and there are hundreds of rounds, so planning a
-query for each (0.15 s against 0.05 s for a pass over a small table) would cost more than the work. Cells are
-checkpointed every ``KEEP`` rounds, so a lost executor costs at most that many steps of margins.
+query for each (0.15 s against 0.07 s for an empty pass) would cost more than the work. Cells are checkpointed every
+``KEEP`` rounds, so a lost executor costs at most that many rounds.
 
 Squared error: gradient = margin - target, hessian 1. Gain of a split = GL^2/(HL+l2) + GR^2/(HR+l2) - G^2/(H+l2); a leaf
 gives -G/(H+l2) times the learning rate. Ties go to the first feature and the lowest cut. Rows and columns are sampled
@@ -37,7 +38,9 @@ MAX_BINS = 256
 #: Of the sketch that proposes the cuts; tables of fewer rows get exact ranks.
 ACCURACY = 100_000
 #: Rows of a block, models of a batch, and rounds between checkpoints.
-BLOCK, BATCH, KEEP = 65_536, 64, 25
+BLOCK, BATCH, KEEP = 65_536, 32, 25
+#: Numbers that a step of the split search holds.
+STEP_BINS = 1 << 15
 #: Least gain of a split, least number of sampled rows in a child.
 LEAST_GAIN, LEAST_ROWS = 1e-6, 1.0
 ROW_STREAM, COLUMN_STREAM = 101, 207  # added to the seed; apart from the streams of parts and folds
@@ -159,15 +162,26 @@ class Trees:
         shape = (models, 2 ** (depth + 1) - 1)
         return cls(np.full(shape, -1, np.int16), np.zeros(shape, np.int16), *(np.zeros(shape) for _ in range(3)))
 
+    def of(self, models: slice) -> Trees:
+        return Trees(*(getattr(self, n)[models] for n in ("feature", "bin", "value", "cover", "gain")))
+
+    def open(self, level: int) -> bool:
+        """Whether any node of a level was split."""
+        return bool((self.feature[:, 2**level - 1 : 2 ** (level + 1) - 1] >= 0).any())
+
 
 def _walk(trees: Trees, models: slice, bins: np.ndarray, levels: int) -> np.ndarray:
     """The node of every row, models x rows, after at most ``levels`` steps."""
-    feature, cut = trees.feature[models].astype(np.int64), trees.bin[models].astype(np.int64)
-    node = np.zeros((len(feature), bins.shape[1]), np.int64)
-    rows, of = np.arange(bins.shape[1])[None, :], np.arange(len(feature))[:, None]
+    feature, cut = trees.feature[models], trees.bin[models].ravel()
+    m, width = feature.shape
+    feature, n = feature.ravel(), bins.shape[1]
+    flat = bins.ravel()
+    node = np.zeros((m, n), np.int32)
+    rows, of = np.arange(n, dtype=np.int32)[None, :], (np.arange(m, dtype=np.int32) * width)[:, None]
     for _ in range(levels):
-        f = feature[of, node]
-        right = bins[np.maximum(f, 0), rows] > cut[of, node]
+        at = node + of
+        f = feature.take(at)
+        right = flat.take(np.maximum(f, 0) * np.int32(n) + rows) > cut.take(at)
         node = np.where(f >= 0, 2 * node + 1 + right, node)
     return node
 
@@ -183,50 +197,59 @@ def _sampled(cell: Cell, run: Run, turn: int) -> np.ndarray:
 
 
 def _histogram(cell: Cell, run: Run, trees: Trees, level: int, turn: int) -> np.ndarray:
-    """2 x models x nodes x bins of all features in a row: sums of gradients, and counts."""
-    m, width = cell.margin.shape[0], sum(run.bins)
-    first, nodes = 2**level - 1, 2**level
-    node = _walk(trees, cell.models, cell.bins, level) - first
-    live = _sampled(cell, run, turn) & (node >= 0)
-    of, row = np.nonzero(live)
-    gradient = (cell.margin[of, row] - cell.y[row])
-    place = (of * nodes + node[of, row]) * width
-    out = np.zeros((2, m * nodes * width))
+    """Sums of gradients and counts in a row: of each feature a block of 2 x models x nodes x bins."""
+    groups = cell.margin.shape[0] * 2**level
+    node = _walk(trees, cell.models, cell.bins, level) - (2**level - 1)
+    of, row = np.nonzero(_sampled(cell, run, turn) & (node >= 0))
+    gradient = cell.margin[of, row] - cell.y[row]
+    place = of * 2**level + node[of, row].astype(np.int64)
+    out = np.empty(2 * groups * sum(run.bins))
     start = 0
     for f, b in enumerate(run.bins):
-        at = place + start + cell.bins[f][row]
-        out[0] += np.bincount(at, gradient, out.shape[1])
-        out[1] += np.bincount(at, minlength=out.shape[1])
-        start += b
-    return out.reshape(2, m, nodes, width)
+        at, n = place * b + cell.bins[f][row], groups * b
+        out[start : start + n] = np.bincount(at, gradient, n)
+        out[start + n : start + 2 * n] = np.bincount(at, minlength=n)
+        start += 2 * n
+    return out
 
 
 def _splits(sums: np.ndarray, run: Run, models: slice, allowed: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
     """Best split of each model and node: feature (-1 for none), bin, gain, G, H, left G, left H."""
-    l2 = np.array([s.reg_lambda for s in run.settings[models]])[:, None]
-    deep = np.array([s.max_depth for s in run.settings[models]]) > level
-    shape = sums.shape[1:3]
+    settings, nodes = run.settings[models], 2**level
+    m = len(settings)
+    shape = (m, nodes)
+    l2 = np.array([s.reg_lambda for s in settings])[:, None, None]
+    deep = np.array([s.max_depth for s in settings]) > level
     best = np.full(shape, LEAST_GAIN)
     feature, cut = np.full(shape, -1, np.int16), np.zeros(shape, np.int16)
     left = np.zeros((2, *shape))
-    total = sums[:, :, :, : run.bins[0]].sum(axis=3)
-    whole = total[0] ** 2 / (total[1] + l2)
-    start = 0
-    for f, b in enumerate(run.bins):
-        part = np.cumsum(sums[:, :, :, start : start + b - 1], axis=3)
-        start += b
-        if b < 2:
+    blocks, start = [], 0
+    for b in run.bins:
+        blocks.append(sums[start : start + 2 * m * nodes * b].reshape(2, m, nodes, b))
+        start += 2 * m * nodes * b
+    total = blocks[0].sum(axis=3)
+    some = max(1, STEP_BINS // (nodes * max(run.bins)))  # models at a time, so that the work stays in the cache
+    for f, block in enumerate(blocks):
+        wanted = np.flatnonzero(allowed[:, f] & deep)
+        if block.shape[3] < 2:
             continue
-        gl, hl = part
-        gr, hr = total[0][..., None] - gl, total[1][..., None] - hl
-        gain = gl**2 / (hl + l2[..., None]) + gr**2 / (hr + l2[..., None]) - whole[..., None]
-        gain = np.where((hl >= LEAST_ROWS) & (hr >= LEAST_ROWS) & (allowed[:, f] & deep)[:, None, None], gain, -np.inf)
-        at = gain.argmax(axis=2)
-        top = np.take_along_axis(gain, at[..., None], axis=2)[..., 0]
-        better = top > best * (1 + 1e-12)
-        best, feature, cut = np.where(better, top, best), np.where(better, f, feature).astype(np.int16), np.where(better, at, cut).astype(np.int16)
-        for k, values in enumerate((gl, hl)):
-            left[k] = np.where(better, np.take_along_axis(values, at[..., None], axis=2)[..., 0], left[k])
+        for k in range(0, len(wanted), some):
+            at = wanted[k : k + some]
+            gl, hl = np.cumsum(block[0, at, :, :-1], axis=2), np.cumsum(block[1, at, :, :-1], axis=2)
+            g, h, ridge = total[0, at][..., None], total[1, at][..., None], l2[at]
+            gr, hr = g - gl, h - hl
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = gl * gl / (hl + ridge) + gr * gr / (hr + ridge) - g * g / (h + ridge)
+            gain[(hl < LEAST_ROWS) | (hr < LEAST_ROWS)] = -np.inf
+            spot = gain.argmax(axis=2)
+            pick = spot[..., None]
+            top = np.take_along_axis(gain, pick, axis=2)[..., 0]
+            better = top > best[at] * (1 + 1e-12)
+            best[at] = np.where(better, top, best[at])
+            feature[at] = np.where(better, f, feature[at])
+            cut[at] = np.where(better, spot, cut[at])
+            for side, values in enumerate((gl, hl)):
+                left[side, at] = np.where(better, np.take_along_axis(values, pick, axis=2)[..., 0], left[side, at])
     return feature, cut, np.where(feature >= 0, best, 0.0), total[0], total[1], left[0], left[1]
 
 
@@ -236,6 +259,43 @@ def _advanced(cell: Cell, trees: Trees, depth: int) -> Cell:
     return replace(cell, margin=cell.margin + np.take_along_axis(value, node, axis=1))
 
 
+def _place(trees: Trees, run: Run, models: slice, level: int, splits: tuple[np.ndarray, ...]) -> None:
+    """Writes the splits of a level, and the values of what is below."""
+    feature, cut, gain, g, h, gl, hl = splits
+    l2 = np.array([s.reg_lambda for s in run.settings[models]])[:, None]
+    rate = np.array([s.learning_rate for s in run.settings[models]])[:, None]
+    first, nodes = 2**level - 1, 2**level
+    here, split = slice(first, first + nodes), feature >= 0
+    trees.feature[models, here], trees.bin[models, here], trees.gain[models, here] = feature, cut, gain
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if level == 0:
+            trees.cover[models, 0:1] = h
+            trees.value[models, 0:1] = np.where(h > 0, -g / (h + l2) * rate, 0.0)
+        for side, gs, hs in ((0, gl, hl), (1, g - gl, h - hl)):
+            at = slice(2 * first + 1 + side, 2 * first + 1 + 2 * nodes, 2)
+            trees.cover[models, at] = np.where(split, hs, 0.0)
+            trees.value[models, at] = np.where(split, -gs / (hs + l2) * rate, 0.0)
+
+
+def _rounds(cell: Cell, run: Run, turn: int, count: int, keep: Sequence[int]) -> tuple[Cell, list[tuple[int, list[Trees]]]]:
+    """Rounds of a batch whose rows are all in one block, and the trees of its models in ``keep``."""
+    models, own = cell.models, slice(0, cell.margin.shape[0])
+    run = replace(run, settings=run.settings[models], folds=run.folds[models], base=run.base[models])
+    cell = replace(cell, models=own)
+    kept = [(m, []) for m in keep if models.start <= m < models.stop]
+    depth = max(s.max_depth for s in run.settings)
+    for t in range(turn, turn + count):
+        trees, allowed = Trees.empty(own.stop, depth), run.columns(t)
+        for level in range(depth):
+            _place(trees, run, own, level, _splits(_histogram(cell, run, trees, level, t), run, own, allowed, level))
+            if not trees.open(level):
+                break
+        cell = _advanced(cell, trees, depth)
+        for m, grown in kept:
+            grown.append(trees.of(slice(m - models.start, m - models.start + 1)))
+    return replace(cell, models=models), kept
+
+
 def _errors(cell: Cell, run: Run) -> np.ndarray:
     """models x (n, y, y^2, squared error, absolute error) over the rows a model left out."""
     out = np.zeros((cell.margin.shape[0], 5))
@@ -314,10 +374,12 @@ class Booster:
 
         cells = rows.mapInArrow(packed, "cell binary").rdd.map(lambda r: pickle.loads(r[0]))
         if len(batches) > 1 and self.blocks <= cores:
-            cells = cells.repartition(min(len(batches) * self.blocks, 2 * cores))
+            # One by one: a plain repartition would move pickled batches of cells.
+            parts = min(len(batches) * self.blocks, 8 * cores)
+            cells = cells.map(lambda c: (c.batch + int(c.ids[0]), c)).partitionBy(parts, lambda k: k).values()
         self.cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
         self.blocks = self.cells.map(lambda c: c.batch == 0).sum()
-        self.turn, self.saved = 0, None
+        self.turn, self.saved, self._older = 0, None, None
 
     def _pass(self, trees: Trees, level: int, allowed: np.ndarray) -> list:
         run, turn = self.run, self.turn
@@ -346,44 +408,54 @@ class Booster:
         return sums.map(best).collect()
 
     def round(self) -> Trees:
-        """Grows one tree for every model and moves the margins on."""
+        """Grows one tree for every model, level by level over all blocks, and moves the margins on."""
         run = self.run
         depth = max(s.max_depth for s in run.settings)
         trees = Trees.empty(len(run.settings), depth)
         allowed = run.columns(self.turn)
-        l2 = np.array([s.reg_lambda for s in run.settings])[:, None]
-        rate = np.array([s.learning_rate for s in run.settings])[:, None]
         for level in range(depth):
-            first, nodes = 2**level - 1, 2**level
-            here, below = slice(first, first + nodes), slice(2 * first + 1, 2 * first + 1 + 2 * nodes)
-            for models, (feature, cut, gain, g, h, gl, hl) in self._pass(trees, level, allowed):
-                split = feature >= 0
-                trees.feature[models, here], trees.bin[models, here], trees.gain[models, here] = feature, cut, gain
-                if level == 0:
-                    trees.cover[models, 0:1] = h
-                    trees.value[models, 0:1] = (-g / (h + l2[models])) * rate[models]
-                for side, gs, hs in ((0, gl, hl), (1, g - gl, h - hl)):
-                    at = slice(below.start + side, below.stop, 2)
-                    trees.cover[models, at] = np.where(split, hs, 0.0)
-                    with np.errstate(invalid="ignore"):
-                        trees.value[models, at] = np.where(split, -gs / (hs + l2[models]) * rate[models], 0.0)
-            if not (trees.feature[:, here] >= 0).any():
+            for models, splits in self._pass(trees, level, allowed):
+                _place(trees, run, models, level, splits)
+            if not trees.open(level):
                 break
         before = self.cells
         self.cells = before.map(lambda cell: _advanced(cell, trees, depth)).persist(StorageLevel.MEMORY_AND_DISK)
         self.turn += 1
         if self.turn % KEEP == 0:
-            self.cells.checkpoint()
-            self.cells.count()
-            saved = self.cells.getCheckpointFile()
-            self._forget()
-            self.saved = saved
-            before.unpersist()
+            self._checkpoint(before)
         elif self.turn % KEEP > 1:
             self._older.unpersist()
         self._older = before
         return trees
 
+    def grow(self, rounds: int, keep: Sequence[int] = ()) -> list[list[Trees]]:
+        """More rounds for all models; the new trees of the models named in ``keep``."""
+        kept: list[list[Trees]] = [[] for _ in keep]
+        end = self.turn + rounds
+        while self.turn < end:
+            if self.blocks > 1:
+                trees = self.round()
+                for k, m in enumerate(keep):
+                    kept[k].append(trees.of(slice(m, m + 1)))
+                continue
+            run, turn, step, before = self.run, self.turn, min(KEEP, end - self.turn), self.cells
+            grown = before.map(lambda cell: _rounds(cell, run, turn, step, keep)).persist(StorageLevel.MEMORY_AND_DISK)
+            for m, trees in grown.flatMap(lambda x: x[1]).collect():
+                kept[keep.index(m)] += trees
+            self.cells = grown.map(lambda x: x[0]).persist(StorageLevel.MEMORY_AND_DISK)
+            self._checkpoint(before)
+            grown.unpersist()
+            self.turn += step
+        return kept
+
+    def _checkpoint(self, before) -> None:
+        self.cells.checkpoint()
+        self.cells.count()
+        saved = self.cells.getCheckpointFile()
+        self._forget()
+        self.saved = saved
+        before.unpersist()
+
     def _forget(self) -> None:
         if self.saved:
             context = self.cells.context
@@ -402,14 +474,14 @@ class Booster:
 
     def close(self) -> None:
         self.cells.unpersist()
-        if getattr(self, "_older", None) is not None:
+        if self._older is not None:
             self._older.unpersist()
         self._forget()
 
     def forest(self, grown: Sequence[Trees], model: int) -> Forest:
-        """The kept trees of one model."""
+        """What the kept trees of a model amount to."""
         nodes = 2 ** (self.run.settings[model].max_depth + 1) - 1
-        pick = lambda n: np.stack([getattr(t, n)[model, :nodes] for t in grown]) if grown else np.zeros((0, nodes))
+        pick = lambda n: np.stack([getattr(t, n)[0, :nodes] for t in grown]) if grown else np.zeros((0, nodes))
         feature, bins = pick("feature").astype(np.int64), pick("bin").astype(np.int64)
         cut = np.zeros(feature.shape)
         for f, values in enumerate(self.cuts):
@@ -432,10 +504,7 @@ def boost(df: DataFrame, features: Sequence[str], target: str, case_id: str, set
     """The forest on all training rows, and (fold, r2, rmse, mae) of the models that leave a fold out; one run for all."""
     cuts = bin_cuts(df.filter("fold >= 0"), features, max_bins)
     booster = Booster(df, features, target, case_id, cuts, [settings] * (folds + 1), [-1, *range(folds)], seed)
-    grown = []
-    for _ in range(settings.n_estimators):
-        trees = booster.round()
-        grown.append(Trees(*(getattr(trees, n)[:1] for n in ("feature", "bin", "value", "cover", "gain"))))
+    grown = booster.grow(settings.n_estimators, [0])[0]
     scores = fold_scores(booster.errors())[1:]
     forest = booster.forest(grown, 0)
     booster.close()
@@ -452,11 +521,10 @@ def search_grid(df: DataFrame, features: Sequence[str], target: str, case_id: st
     models = [k for k in kinds for _ in range(folds)]
     booster = Booster(df, features, target, case_id, cuts, models, [f for _ in kinds for f in range(folds)], seed)
     found: dict[tuple[Settings, int], np.ndarray] = {}
-    for turn in range(ends[-1]):
-        booster.round()
-        if turn + 1 in ends:
-            scores = fold_scores(booster.errors()).reshape(len(kinds), folds, 3)
-            for kind, rows in zip(kinds, scores):
-                found[kind, turn + 1] = rows.mean(axis=0)
+    for end in ends:
+        booster.grow(end - booster.turn)
+        scores = fold_scores(booster.errors()).reshape(len(kinds), folds, 3)
+        for kind, rows in zip(kinds, scores):
+            found[kind, end] = rows.mean(axis=0)
     booster.close()
     return np.array([found[replace(p, n_estimators=0), p.n_estimators] for p in points])
