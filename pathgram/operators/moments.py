@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathgram.functions.layout import splits, spread
+from pathgram.functions.layout import spread, tasks
 
 CELLS_PER_STEP = 4_000_000  # rows x replicates worked on at once inside a task
 MERGE = 256  # partial rows of a key that one task merges at first
@@ -164,11 +164,11 @@ def moment_parts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 
 
 def premerge(parts: DataFrame, keys: Sequence[str], schema: T.StructType, source: DataFrame) -> DataFrame:
-    """Partial rows of ``MERGE`` tasks at a time made one row per key, where the scan has more tasks than that.
+    """Partial rows of ``MERGE`` tasks at a time made one row per key, where the source has more tasks than that or does not say.
 
     So what finally meets in one task is a few hundred small matrices, also over a scan of a million tasks.
     """
-    found = splits(source)
+    found = tasks(source)
     if found is not None and found <= MERGE:
         return parts
 

@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 
 from pathgram.functions.columns import col
 from pathgram.functions.distributions import student_tail
+from pathgram.functions.draws import exact_counts
 from pathgram.functions.hashing import poisson_array
 from pathgram.functions.layout import small_side
+from pathgram.functions.ordering import number_cases
 from pathgram.operators.algebra import equal_weights, estimate_weights
 from pathgram.operators.fit import METRIC_FIELDS, model_rows, rows_frame, usable
 from pathgram.operators.metrics import SECTIONS, flat, reportable
@@ -91,15 +93,24 @@ def replicate_metrics(df: DataFrame, spec: ModelSpec, case_id: str, replicates:
 
 def bootstrap_samples(df: DataFrame, spec: ModelSpec, case_id: str, replicates: int = 500,
                       settings: FitSettings = FitSettings(), wanted: tuple[str, ...] | None = None,
-                      sum_scores: bool = False) -> DataFrame:
+                      sum_scores: bool = False, exact: bool = False) -> DataFrame:
     """Bootstrap distribution of every reportable metric.
 
     Each case gets a Poisson(1) weight per replicate, drawn from (case, replicate,
     seed), so no replicate needs to know the others' rows and nothing is gathered.
+    With ``exact`` every replicate has as many draws as there are cases: cases are numbered in the
+    order of their key (unique), and counts are split down a tree over the numbers.
     """
     spec.check(df.columns)
     table, _ = prepare(df, spec.indicators, settings.missing, keep=[case_id])
     seed = settings.seed
+    if exact:
+        table = materialise(number_cases(table, case_id), "numbered")
+        n = table.count()
+        return replicate_metrics(
+            table, spec, "case_number", replicates, lambda ids, numbers: exact_counts(ids - 1, numbers, n, seed),
+            settings, wanted, sum_scores,
+        )
     return replicate_metrics(
         table, spec, case_id, replicates, lambda ids, numbers: poisson_array(ids, numbers, seed),
         settings, wanted, sum_scores,

@@ -374,11 +374,15 @@ def strongest_pair(spark, sf):
 
 
 @query("c16_normality_verdict", with_(S.FX, S.COMPLETE, _stats_cte("complete", SPEC.indicators)) +
-       "SELECT variable, CASE WHEN abs(skew) <= 2 AND abs(kurt) <= 7 THEN 'acceptable' ELSE 'review' END AS verdict FROM st")
+       "SELECT variable, test, CASE WHEN p > 0.05 THEN 'normal' WHEN abs(skew) <= 2 AND abs(kurt) <= 7 THEN 'acceptable' ELSE 'review' END AS verdict "
+       "FROM st, (SELECT 'passed' AS test, 0.2 AS p UNION ALL SELECT 'edge', 0.05 UNION ALL SELECT 'failed', 0.001 UNION ALL SELECT 'not tested', NULL)")
 def normality_verdict(spark, sf):
+    """The rule for every outcome of the test, which has its own query."""
     stats = PR.column_stats(cases(spark, sf), SPEC.indicators, quartiles=False)
-    none = F.lit(None).cast("double")  # the Shapiro half of the rule has its own query and unit test
-    return stats.select("variable", SC.normality_verdict(F.col("skew"), F.col("kurt"), none).alias("verdict"))
+    outcomes = F.array(*[F.struct(F.lit(n).alias("test"), F.lit(p).cast("double").alias("p")) for n, p in (
+        ("passed", 0.2), ("edge", 0.05), ("failed", 0.001), ("not tested", None))])
+    stats = stats.withColumn("o", F.explode(outcomes))
+    return stats.select("variable", "o.test", SC.normality_verdict(F.col("skew"), F.col("kurt"), F.col("o.p")).alias("verdict"))
 
 
 @query("c16_normality_table")

@@ -71,7 +71,8 @@ def centroid_scheme(spark, sf):
     return rounded(single(spark, sf, settings=replace(TIGHT, scheme="centroid")).metrics().filter("metric = 'weight'"))
 
 
-@query("e06_mode_b_weights")
+@query("e06_mode_b_weights", f"WITH {S.FX}, {S.COMPLETE},{S.correlation_ctes(S.SINGLE_SRC)},{S.weight_ctes(16, formative=('Frequency', 'Value'))} "
+       "SELECT 'weight' AS metric, i AS source, lv AS target, i || ' <- ' || lv AS label, round(w, 6) + 0.0 AS value FROM w_last")
 def mode_b(spark, sf):
     return rounded(single(spark, sf, FORMATIVE_SPEC).metrics().filter("metric = 'weight'"))
 
@@ -223,11 +224,18 @@ def flat_metrics(spark, sf):
     return rounded(metric_ops.flat(single(spark, sf).metrics()).filter("metric <> 'model_fit:d_G'"))
 
 
-@query("e34_convergence", f"WITH {S.FX}, {S.COMPLETE} SELECT 'n_observations' AS label, CAST(count(*) AS DOUBLE) AS value "
-       "FROM complete UNION ALL SELECT 'n_indicators', 9.0 UNION ALL SELECT 'max_iterations', 300.0 "
-       "UNION ALL SELECT 'converged', 1.0")
+MOVED = " UNION ALL ".join(f"SELECT {k + 1} AS step, max(abs(a.w - b.w)) AS moved FROM w_{k + 1} a JOIN w_{k} b ON a.i = b.i" for k in range(8))
+
+
+@query("e34_convergence", f"WITH {S.FX}, {S.COMPLETE},{S.correlation_ctes(S.SINGLE_SRC)},{S.weight_ctes(8)}, mv AS ({MOVED}) "
+       "SELECT 'n_observations' AS label, CAST(count(*) AS DOUBLE) AS value FROM complete "
+       f"UNION ALL SELECT 'n_indicators', CAST(count(*) AS DOUBLE) FROM blk UNION ALL SELECT 'max_iterations', {FitSettings().max_iterations}.0 "
+       f"UNION ALL SELECT 'iterations', CAST(min(step) AS DOUBLE) FROM mv WHERE moved < {FitSettings().stop!r} "
+       f"UNION ALL SELECT 'converged', CASE WHEN min(moved) < {FitSettings().stop!r} THEN 1.0 ELSE 0.0 END FROM mv")
 def convergence(spark, sf):
-    found = single(spark, sf).metrics().filter("metric = 'run' and label not in ('iterations', 'stop_criterion')")
+    """The report of a run at the usual stop criterion."""
+    fx = materialise(customer_indicators(spark, sf).select("case_id", *SPEC.indicators), "cases")
+    found = fit_model(fx, SPEC, FitSettings()).metrics().filter("metric = 'run' and label <> 'stop_criterion'")
     return found.select("label", "value")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pathgram.functions.draws import DRAW_STREAM
 from pathgram.operators import groups as G
 from pathgram.operators import predict as PD
 from pathgram.operators import resample as RS
@@ -26,8 +27,8 @@ def cases(spark, sf, *extra):
     return materialise(customer_indicators(spark, sf).select("case_id", *extra, *SPEC.indicators), "cases")
 
 
-def samples(spark, sf, sum_scores=False, spec=SPEC):
-    return RS.bootstrap_samples(cases(spark, sf), spec, "case_id", B, TIGHT, sum_scores=sum_scores)
+def samples(spark, sf, sum_scores=False, spec=SPEC, exact=False):
+    return RS.bootstrap_samples(cases(spark, sf), spec, "case_id", B, TIGHT, sum_scores=sum_scores, exact=exact)
 
 
 def poisson_src(where: str = "TRUE", seed: int = SEED, shift: int = 0) -> str:
@@ -48,6 +49,21 @@ def bootstrap(spark, sf):
     return rounded(found.select("replicate", "metric", "label", "value"))
 
 
+# As many draws as cases: what a table of one block draws (up to 4,096 cases).
+EXACT = (f"SELECT b AS g, rid, w, {ITEMS} FROM (SELECT b, place, count(*)::DOUBLE AS w FROM (SELECT b, "
+         f"({S.lane_sql('i', 'b', SEED + DRAW_STREAM)}) % (SELECT count(*) FROM complete) AS place FROM "
+         f"(SELECT unnest(range((SELECT count(*) FROM complete))) AS i), (SELECT unnest(range({B})) AS b)) GROUP BY b, place) d "
+         f"JOIN (SELECT row_number() OVER (ORDER BY case_id) - 1 AS place, case_id AS rid, {ITEMS} FROM complete) c USING (place)")
+
+
+@query("f01_bootstrap_exact", S.model_sql(
+    "SELECT g AS replicate, metric, label, round(value, 6) + 0.0 AS value FROM metrics WHERE metric IN ("
+    + ", ".join(f"'{m}'" for m in SQL_FLAT) + ")", EXACT))
+def bootstrap_exact(spark, sf):
+    found = samples(spark, sf, exact=True).filter(F.col("metric").isin(*SQL_FLAT))
+    return rounded(found.select("replicate", "metric", "label", "value"))
+
+
 @query("f01_bootstrap_sum_scores", S.model_sql(
     "SELECT g AS replicate, label, round(value, 6) + 0.0 AS value FROM metrics WHERE metric = 'path'", BOOT, equal=True))
 def bootstrap_sum_scores(spark, sf):

@@ -124,11 +124,35 @@ SCHEMES = {
 }
 
 
-def weight_ctes(steps: int = 8, scheme: str = "path") -> str:
-    """w_last(g, i, lv, w): unit-norm weights of reflective blocks."""
+# Inverse of each block of three indicators by cofactors: mates are the correlations inside a block.
+INVERSE_CTES = """
+mates AS MATERIALIZED (SELECT r.g, a.lv, r.i, r.j, r.v FROM r JOIN blk a ON a.i = r.i JOIN blk b ON b.i = r.j AND b.lv = a.lv),
+det AS MATERIALIZED (SELECT g, lv, 1 + 2 * product(v) FILTER (i < j) - sum(v * v) FILTER (i < j) AS d FROM mates GROUP BY g, lv),
+inv AS MATERIALIZED (
+  SELECT x.g, x.lv, x.i, x.j, (y.v * z.v - x.v) / d AS v FROM mates x
+  JOIN mates y ON y.g = x.g AND y.i = x.i AND y.j <> x.i AND y.j <> x.j
+  JOIN mates z ON z.g = x.g AND z.i = x.j AND z.j = y.j JOIN det ON det.g = x.g AND det.lv = x.lv WHERE x.i <> x.j
+  UNION ALL SELECT x.g, x.lv, x.i, x.j, (1 - y.v * y.v) / d FROM mates x
+  JOIN mates y ON y.g = x.g AND y.lv = x.lv AND y.i < y.j AND y.i <> x.i AND y.j <> x.i
+  JOIN det ON det.g = x.g AND det.lv = x.lv WHERE x.i = x.j)"""
+
+
+def weight_ctes(steps: int = 8, scheme: str = "path", formative: tuple[str, ...] = ()) -> str:
+    """w_last(g, i, lv, w): unit-norm weights; blocks named in ``formative`` by regression on their indicators."""
     link, to_value, past = SCHEMES[scheme]
     fv, fa, va = (link.format(c=c) for c in ("fv", "fa", "va"))
-    out = ["w_0 AS MATERIALIZED (SELECT g, i, lv, 1 / sqrt(3.0) AS w FROM size, blk)"]
+    out = [INVERSE_CTES] if formative else []
+    out.append("w_0 AS MATERIALIZED (SELECT g, i, lv, 1 / sqrt(3.0) AS w FROM size, blk)")
+    by_block = f"lv IN ({', '.join(repr(c) for c in formative)})"
+
+    def outer(k: int) -> str:
+        if not formative:
+            return ""
+        return f"""o_{k} AS MATERIALIZED (
+  SELECT u.g, inv.i, u.lv, sum(inv.v * u.w) AS w FROM u_{k} u JOIN inv ON inv.g = u.g AND inv.j = u.i WHERE u.{by_block} GROUP BY u.g, inv.i, u.lv
+  UNION ALL SELECT g, i, lv, w FROM u_{k} WHERE NOT {by_block}),
+"""
+
     for k in range(steps):
         out.append(_composite_step(str(k), f"w_{k}"))
         out.append(f"""
@@ -145,9 +169,9 @@ u_{k} AS MATERIALIZED (
   SELECT d.g, d.i, d.t AS lv, sum(e.e * d.v / sqrt(e.ss)) AS w
   FROM d_{k} d JOIN e_{k} e ON e.g = d.g AND e.t = d.t AND e.s = d.s
   GROUP BY d.g, d.i, d.t),
-w_{k + 1} AS MATERIALIZED (
-  SELECT u.g, u.i, u.lv, u.w / sqrt(z.ss) AS w FROM u_{k} u
-  JOIN (SELECT g, lv, sum(w * w) AS ss FROM u_{k} GROUP BY g, lv) z ON z.g = u.g AND z.lv = u.lv)""")
+{outer(k)}w_{k + 1} AS MATERIALIZED (
+  SELECT u.g, u.i, u.lv, u.w / sqrt(z.ss) AS w FROM {'o' if formative else 'u'}_{k} u
+  JOIN (SELECT g, lv, sum(w * w) AS ss FROM {'o' if formative else 'u'}_{k} GROUP BY g, lv) z ON z.g = u.g AND z.lv = u.lv)""")
     out.append(f"w_last AS MATERIALIZED (SELECT * FROM w_{steps})")
     return ",".join(out)
 

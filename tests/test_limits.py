@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pathgram.functions.hashing import lane, lane_array
 from pathgram.functions.ordering import number_cases
-from pathgram.operators import attribution, optimum, predict, profile, trees
+from pathgram.operators import attribution, optimum, predict, profile, resample, trees
 from pathgram.operators.fit import fit_by
 from pathgram.operators.moments import moment_parts, moments
 from pathgram.sources import readers
@@ -135,3 +135,23 @@ def test_entry_runs_from_another_folder(tmp_path):
     ).replace("/root/repo", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert "ROWS" in out.stdout, out.stderr[-2000:]
+
+
+def stages(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas")
+
+
+def test_small_tables_are_merged_once(spark, tmp_path):
+    """One merge where few tasks feed it, two levels above 256 tasks; also when names look like plan nodes."""
+    spec = ModelSpec({"A": ["a1", "Join a2"], "B": ["Sort b1", "b2"]}, [("A", "B")])
+    names = ["case_id", *spec.indicators]
+    made = spark.range(600).select("id", *[F.rand(k).alias(n) for k, n in enumerate(spec.indicators)]).toDF(*names)
+    made.coalesce(1).write.parquet(str(tmp_path / "Exchange"))
+    small = spark.read.parquet(str(tmp_path / "Exchange"))
+    assert stages(resample.bootstrap_samples(small, spec, "case_id", 20)) == 1
+    assert stages(resample.bootstrap_samples(made.repartition(40), spec, "case_id", 20)) == 1
+    wide = resample.bootstrap_samples(made.repartition(300), spec, "case_id", 20)
+    assert stages(wide) == 2
+    one = {(r.replicate, r.metric, r.label): r.value for r in resample.bootstrap_samples(made.repartition(40), spec, "case_id", 3).collect()}
+    two = {(r.replicate, r.metric, r.label): r.value for r in resample.bootstrap_samples(made.repartition(300), spec, "case_id", 3).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)

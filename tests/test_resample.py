@@ -3,6 +3,7 @@ import pytest
 
 import rowwise
 from pathgram.functions.cuts import fold_numbers, fold_sizes, rank_cuts
+from pathgram.functions.draws import exact_counts
 from pathgram.functions.hashing import lane, lane_array, poisson_array
 from pathgram.operators import groups, predict
 from pathgram.operators import resample as rs
@@ -167,3 +168,41 @@ def test_group_tests(fx):
     assert (perm["permutations"] == 20).all() and perm["p_permutation"].between(0, 1).all()
     with pytest.raises(ValueError, match="each group needs"):
         groups.multi_group(fx, SPEC, "case_id", "segment", "BUILDING", "nobody", 5)
+
+
+def test_exact_draws_add_up_and_do_not_depend_on_the_split():
+    n, replicates = 2500, np.arange(40)
+    whole = exact_counts(np.arange(n), replicates, n, 42, block=300)
+    assert (whole.sum(axis=0) == n).all()
+    order = np.random.default_rng(1).permutation(n)
+    pieces = np.zeros_like(whole)
+    for part in np.array_split(order, 13):
+        pieces[part] = exact_counts(part, replicates, n, 42, block=300)
+    assert (pieces == whole).all()
+
+
+def test_exact_draws_are_multinomial():
+    """Mean 1, variance 1 - 1/n, covariance -1/n, inside and across blocks; and even over the positions."""
+    n, reps = 40, 20_000
+    w = exact_counts(np.arange(n), np.arange(reps), n, 7, block=8)
+    assert np.abs(w.mean(axis=1) - 1).max() < 5 / np.sqrt(reps) and np.abs(w.var(axis=1) - (1 - 1 / n)).max() < 0.08
+    cov = np.cov(w)
+    off = cov[~np.eye(n, dtype=bool)]
+    assert abs(off.mean() + 1 / n) < 2e-3 and np.abs(off + 1 / n).max() < 0.05
+    total = w.sum(axis=1)
+    assert ((total - reps) ** 2 / (reps * (1 - 1 / n))).sum() < n + 5 * np.sqrt(2 * n)
+
+
+def test_exact_draws_of_a_model(fx):
+    """A replicate is the model of its drawn rows; sizes are those of the table."""
+    rows = fx.dropna().select("case_id", *SPEC.indicators).toPandas().sort_values("case_id").reset_index(drop=True)
+    found = rs.bootstrap_samples(fx, SPEC, "case_id", 3, exact=True).filter("metric = 'path'").toPandas()
+    again = rs.bootstrap_samples(fx.repartition(7), SPEC, "case_id", 3, exact=True).filter("metric = 'path'").toPandas()
+    counts = exact_counts(np.arange(len(rows)), np.arange(3), len(rows), FitSettings().seed)
+    for k in range(3):
+        drawn = rows.loc[np.repeat(np.arange(len(rows)), counts[:, k].astype(int))].reset_index(drop=True)
+        assert len(drawn) == len(rows)
+        drawn["case_id"] = np.arange(len(drawn))
+        want = fit_model(fx.sparkSession.createDataFrame(drawn), SPEC).metrics().filter("metric = 'path'").toPandas()
+        a, b, c = (t.set_index("label")["value"].sort_index() for t in (found[found.replicate == k], again[again.replicate == k], want))
+        assert np.allclose(a, c) and np.allclose(a, b)
