@@ -151,6 +151,7 @@ def _index_batches(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Itera
         texts = pa.concat_arrays([t.cast(pa.large_string()) for _, t in held])
         rows = build_shard(shard, ids, texts)
         shard, held, weight = shard + 1, [], 0
+        pa.default_memory_pool().release_unused()
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SHARD_TYPES)], names=SHARD_NAMES)
 
     for batch in batches:
@@ -349,16 +350,23 @@ def search_shard(heap: Heap, lists: list[tuple[int, Postings]], ids: np.ndarray,
     heap.add(score[good], ids[docs[good]], known[docs[good]])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after another, so that only one page is held besides the batch."""
+    for batch in batches:
+        names = batch.schema.names
+        for k in range(batch.num_rows):
+            yield {n: batch.column(c)[k].as_py() for c, n in enumerate(names)}
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of one (group, shard) after another."""
     held, key = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if (row["group"], row["shard"]) != key:
-                if held:
-                    yield held
-                held, key = [], (row["group"], row["shard"])
-            held.append(row)
+    for row in _rows(batches):
+        if (row["group"], row["shard"]) != key:
+            if held:
+                yield held
+            held, key = [], (row["group"], row["shard"])
+        held.append(row)
     if held:
         yield held
 
@@ -403,26 +411,22 @@ def _search_cells(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int,
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a page only the lists that the group asks for."""
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            terms = row["terms"].split(b" ")
-            place = {t: k for k, t in enumerate(terms)}
-            hit = sorted((place[u["term"].encode()], n) for n, u in enumerate(row["uses"]) if u["term"].encode() in place)
-            if not hit:
-                continue
-            peak_ends, body_ends = _numbers(row["peak_ends"]).tolist(), _numbers(row["body_ends"]).tolist()
-            peaks = [row["peaks"][20 * (peak_ends[j - 1] if j else 0) : 20 * peak_ends[j]] for j, _ in hit]
-            bodies = [row["body"][(body_ends[j - 1] if j else 0) : body_ends[j]] for j, _ in hit]
-            uses = [row["uses"][n] for _, n in hit]
-            rows.append({
-                "group": row["group"], "shard": row["shard"], "page": row["page"], "terms": b" ".join(terms[j] for j, _ in hit),
-                "peaks": b"".join(peaks), "peak_ends": np.cumsum([len(p) // 20 for p in peaks]).astype("<u4").tobytes(),
-                "body": b"".join(bodies), "body_ends": np.cumsum([len(b) for b in bodies]).astype("<u4").tobytes(),
-                "asked": [u["term"] for u in uses], "users": [[[v["item"], v["weight"]] for v in u["users"]] for u in uses],
-            })
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=CELL_TYPES)
+    for row in _rows(batches):
+        terms = row["terms"].split(b" ")
+        place = {t: k for k, t in enumerate(terms)}
+        hit = sorted((place[u["term"].encode()], n) for n, u in enumerate(row["uses"]) if u["term"].encode() in place)
+        if not hit:
+            continue
+        peak_ends, body_ends = _numbers(row["peak_ends"]), _numbers(row["body_ends"])
+        peaks = [row["peaks"][20 * (int(peak_ends[j - 1]) if j else 0) : 20 * int(peak_ends[j])] for j, _ in hit]
+        bodies = [row["body"][(int(body_ends[j - 1]) if j else 0) : int(body_ends[j])] for j, _ in hit]
+        uses = [row["uses"][n] for _, n in hit]
+        yield pa.RecordBatch.from_pylist([{
+            "group": row["group"], "shard": row["shard"], "page": row["page"], "terms": b" ".join(terms[j] for j, _ in hit),
+            "peaks": b"".join(peaks), "peak_ends": np.cumsum([len(p) // 20 for p in peaks]).astype("<u4").tobytes(),
+            "body": b"".join(bodies), "body_ends": np.cumsum([len(b) for b in bodies]).astype("<u4").tobytes(),
+            "asked": [u["term"] for u in uses], "users": [[[v["item"], v["weight"]] for v in u["users"]] for u in uses],
+        }], schema=CELL_TYPES)
 
 
 CELL = ("group long, shard long, page int, terms binary, peaks binary, peak_ends binary, body binary, body_ends binary, "
