@@ -8,13 +8,14 @@ budget takes what starts before time 1, and cuts each queue's last document ther
 target exceeds its words is served again from its start, up to ``repeat`` times.
 
 Words are runs without ASCII white space. Null and empty texts have size 0 and take 0. A null source
-is a source of its own and comes last in the order of weights. Rows with equal ids and sizes are interchangeable;
-each is taken on its own. An empty table gives an empty result. If the budget exceeds ``repeat``
+is a source of its own and comes last in the order of weights. Rows with equal ids and sizes go by a hash of
+the text; each is taken on its own. An empty table gives an empty result. If the budget exceeds ``repeat``
 times all words, every document is taken ``repeat`` times.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     words that the mix takes from it over all rounds. ``keep`` names further columns to carry.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.select("doc_id", "source", word_count(whole("text")).alias("size"), key.alias("key"), *keep)
+    rows = docs.select("doc_id", "source", word_count(whole("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *keep)
     rows = materialise(rows, "mix-rows")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = materialise(source_targets(sources, weights, share, repeat), "mix-targets")
@@ -78,7 +79,7 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         F.col("place").alias("place2"), F.col("bucket").alias("bucket2"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset")
     )
     offsets = small(materialise(offsets, "mix-offsets"))
-    inside = Window.partitionBy("place", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("place", "bucket").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside))
     rows = rows.join(offsets, (F.col("place") == F.col("place2")) & (F.col("bucket") == F.col("bucket2")))
     rows = rows.withColumn("before", F.col("offset") + F.col("upto") - F.col("size"))
@@ -92,29 +93,51 @@ def _served(limit: Column, before: Column, queue: Column, turn: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), limit - before - queue * turn))
 
 
+def _row_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as a scan of files, and a frame of it with each row's place: file and number in the file.
+
+    The place names a row whatever its values, in every reading of the same files. A frame that is not a scan of
+    Parquet files is written first.
+    """
+    for table in (docs, None):
+        table = materialise(docs, "mix-input") if table is None else table
+        try:
+            place = table.metadataColumn("_metadata")
+            found = table.select(F.struct(*[table[f"`{c}`"] for c in table.columns]).alias("doc"), place["file_path"].alias("file"), place["row_index"].alias("number"))
+            found.schema  # noqa: B018 - resolves the plan
+            return table, found
+        except AnalysisException:
+            continue
+    raise ValueError("rows cannot be told apart")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeat: int = 2) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, a row per served document and round, in order of virtual start.
 
     The document that a round ends in is cut after the last word that is served. Documents without
-    words are left out. Rows that share id and source are told apart by size; equal ones are served alike.
+    words are left out. Every row is served by itself, also among repeated rows and rows without an id,
+    so the words of the mix are those that ``fair_queue`` takes.
     """
     columns = docs.columns
-    queue = fair_queue(docs, weights, share, repeat)
+    docs, placed = _row_places(docs)
+    rows = placed.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"), F.col("doc.text").alias("text"), "file", "number")
+    queue = fair_queue(rows, weights, share, repeat, keep=("file", "number"))
     limit = F.round("target").cast("long")
     turns = F.array(*[
         F.struct(_served(limit, F.col("before"), F.col("source_size"), t).alias("served"), ((F.col("before") + F.col("source_size") * t) / F.col("target")).alias("start"))
         for t in range(repeat)
     ])
-    queue = queue.filter("taken > 0").groupBy("doc_id", "source", "size").agg(F.min(turns).alias("turns"))
-    queue = queue.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("turns").alias("__turns"))
+    queue = queue.filter("taken > 0").select(F.col("file").alias("file2"), F.col("number").alias("number2"), "size", turns.alias("turns"))
     queue = materialise(queue, "mix-served")
-    mine = docs.withColumn("__words", word_count(whole("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    served = mine.join(small(queue, 20_000), same).withColumn("__turn", F.explode("__turns")).filter("__turn.served > 0")
-    served = served.withColumn("__start", F.col("__turn.start"))
-    lead = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("__turn.served").cast("int")), "")
-    served = served.withColumn("text", F.when(F.col("__turn.served") < F.col("__size"), lead).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        served = served.withColumn("n_chars", F.length(whole("text")).cast(docs.schema["n_chars"].dataType))
+    served = placed.join(small(queue, 20_000), (F.col("file") == F.col("file2")) & (F.col("number") == F.col("number2")))
+    served = served.select("doc", "size", F.explode("turns").alias("turn")).filter("turn.served > 0")
+    text = F.col("doc.text")
+    lead = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("turn.served").cast("int")), "")
+    served = served.withColumn("cut", F.when(F.col("turn.served") < F.col("size"), lead).otherwise(text))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return served.repartitionByRange(parts, "__start", "doc_id").sortWithinPartitions("__start", "doc_id").select(*[F.col(f"`{c}`") for c in columns])
+    served = served.select("doc", "cut", F.col("turn.start").alias("start")).repartitionByRange(parts, "start", "doc.doc_id").sortWithinPartitions("start", "doc.doc_id")
+    whole_length = F.length(whole("cut"))
+    fields = {"text": F.col("cut")}
+    if "n_chars" in columns:
+        fields["n_chars"] = whole_length.cast(docs.schema["n_chars"].dataType)
+    return served.select(*[fields.get(c, F.col("doc")[c]).alias(c) for c in columns])

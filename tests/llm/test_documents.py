@@ -113,6 +113,30 @@ def test_targets_of_many_small_sources(spark):
     assert all(got[s] == pytest.approx(want[s]) for s in sizes)
 
 
+def words_by_source(rows):
+    out = Counter()
+    for source, text in rows:
+        out[source] += len(words(text))
+    return {s: n for s, n in out.items() if n}
+
+
+def test_every_row_is_mixed_by_itself(spark, tmp_path):
+    """Rows without an id, repeated rows and rows that share id and size: the words of the mix are those taken."""
+    rows = [(None, " ".join(f"w{i}_{j}" for j in range(50)), "a") for i in range(40)]
+    rows += [(7, "same words " * 9, "a")] * 5 + [(8, f"text{i} of three", "b") for i in range(30)] + [(None, None, "b"), (9, "", None), (10, "one two", None)]
+    data = [(d, t, "en", s, 0, f"x{k}") for k, (d, t, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, __id string").repartition(3)
+    df.write.parquet(str(tmp_path / "docs"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "docs")), df.filter("lang = 'en'")):
+        taken = Counter()
+        for r in fair_queue(docs).collect():
+            taken[r.source] += r.taken
+        mixed = mix(docs).collect()
+        assert words_by_source((r.source, r.text) for r in mixed) == {s: n for s, n in taken.items() if n}
+        whole_rows = {r["__id"]: t for r, (_, t, _) in ((r, rows[int(r["__id"][1:])]) for r in mixed)}
+        assert all(whole_rows[r["__id"]].startswith(r.text) and r.n_chars == len(r.text) for r in mixed)
+
+
 def test_mixed_corpus(spark):
     rows = list({d: (d, t, s) for d, t, s in messy_rows() if d is not None}.values())
     df = frame(spark, rows)
