@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pathgram.functions.columns import col
 from pathgram.functions.hashing import poisson_weight
+from pathgram.functions.sobol import sobol_column
 from pathgram.operators.profile import whole_number
 from pathgram.operators.trees import Predictor
 
@@ -50,11 +51,11 @@ def sobol(df: DataFrame, features: Sequence[str], predictor: Predictor, max_powe
     d = len(features)
     ends = [(lo, hi if hi > lo else lo + WIDTH) for lo, hi, _ in box(df, features)]
     powers = [p for p in POWERS if p <= max_power] or [max_power]
-    steps = alphas(2 * d)
     spark = df.sparkSession
+    # Column k of A and of B are dimensions k and d + k of one Sobol sequence.
     points = spark.range(2 ** max(powers)).select(
-        "id", *[low_discrepancy(F.col("id"), steps[k]).alias(f"a{k}") for k in range(d)],
-        *[low_discrepancy(F.col("id"), steps[d + k]).alias(f"b{k}") for k in range(d)],
+        "id", *[sobol_column(F.col("id"), k, max(powers)).alias(f"a{k}") for k in range(d)],
+        *[sobol_column(F.col("id"), d + k, max(powers)).alias(f"b{k}") for k in range(d)],
         F.explode(F.sequence(F.lit(-2), F.lit(d - 1))).alias("which"),  # -2: A, -1: B, k: A with column k of B
     )
     unit = [F.when((F.col("which") == -1) | (F.col("which") == k), F.col(f"b{k}")).otherwise(F.col(f"a{k}")) for k in range(d)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pathgram.functions.sobol import sobol_sql
 from pathgram.operators import attribution as AT
 from pathgram.operators import formula as FM
 from pathgram.operators import sensitivity as SN
@@ -106,17 +107,10 @@ def pareto_front(spark, sf):
 
 
 BOX = ", bx AS MATERIALIZED (SELECT " + ", ".join(f"min({f}) AS lo_{f}, max({f}) AS hi_{f}" for f in FEATURES) + " FROM md)"
-A8 = SN.alphas(8)
-
-
-def _lds(index: str, alpha: float) -> str:
-    x = f"(0.5 + CAST({index} + 1 AS DOUBLE) * {alpha!r}::DOUBLE)"
-    return f"({x} - floor({x}))"
-
-
-DESIGN = BOX + ", sp AS MATERIALIZED (SELECT i, w, " + ", ".join(
-    f"lo_{f} + CASE WHEN w = -1 OR w = {k} THEN {_lds('i', A8[4 + k])} ELSE {_lds('i', A8[k])} END * (hi_{f} - lo_{f}) AS {f}"
-    for k, f in enumerate(FEATURES)) + " FROM bx, (SELECT unnest(range(8192)) AS i), (SELECT unnest(range(-2, 4)) AS w))"
+DESIGN = BOX + ", so AS MATERIALIZED (SELECT i, " + ", ".join(
+    f"{sobol_sql('i', k, 13)} AS a{k}, {sobol_sql('i', 4 + k, 13)} AS b{k}" for k in range(4)) + " FROM (SELECT unnest(range(8192)) AS i)), sp AS MATERIALIZED (SELECT i, w, " + ", ".join(
+    f"lo_{f} + CASE WHEN w = -1 OR w = {k} THEN b{k} ELSE a{k} END * (hi_{f} - lo_{f}) AS {f}"
+    for k, f in enumerate(FEATURES)) + " FROM bx, so, (SELECT unnest(range(-2, 4)) AS w))"
 SOBOL = DESIGN + f""", yy AS MATERIALIZED (SELECT i, w, {FORM} AS y FROM sp),
 wy AS (SELECT i, max(y) FILTER (w = -2) AS a, max(y) FILTER (w = -1) AS b, max(y) FILTER (w = 0) AS y0, max(y) FILTER (w = 1) AS y1,
        max(y) FILTER (w = 2) AS y2, max(y) FILTER (w = 3) AS y3 FROM yy GROUP BY i),

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathgram.functions import sobol
 from pathgram.operators import attribution, formula, sensitivity, trees
 from pathgram.operators.prepare import feature_target
 
@@ -55,6 +56,32 @@ def test_coalitions_of_many_features_need_draws(spark):
         attribution.shapley(df, names, trees.formula_predictor("x0"), "id")
 
 
+def test_sobol_points_equal_the_published_ones(spark):
+    # The start of the sequence in Gray-code order, in eighths.
+    start = np.array([[0, 0, 0], [4, 4, 4], [6, 2, 2], [2, 6, 6], [3, 3, 5], [7, 7, 1], [5, 1, 7], [1, 5, 3]]) / 8
+    assert (np.column_stack([sobol.sobol_points(np.arange(8), k) for k in range(3)]) == start).all()
+    for d in range(40):  # every dimension, also beyond the published table: each power of two is met once in each interval
+        x = sobol.sobol_points(np.arange(1024), d)
+        assert sorted((x * 1024).astype(int)) == list(range(1024)) and (x[:64] * 64 % 1 == 0).all()
+    assert len({sobol.directions(d)[:12] for d in range(60)}) == 60
+    cols = [sobol.sobol_column(F.col("id"), d, 10).alias(f"x{d}") for d in range(6)]
+    got = np.array(spark.range(1024).repartition(5).select("id", *cols).orderBy("id").collect())[:, 1:]
+    assert (got == np.column_stack([sobol.sobol_points(np.arange(1024), d) for d in range(6)])).all()
+
+
+def test_sobol_indices_of_a_published_function(spark):
+    """sin x1 + 7 sin^2 x2 + 0.1 x3^4 sin x1 on (-pi, pi), with known indices; half-widths cover the error."""
+    df = spark.createDataFrame([(-np.pi,) * 3, (np.pi,) * 3], "x1 double, x2 double, x3 double")
+    text = "sin(x1) + 7 * pow(sin(x2), 2) + 0.1 * pow(x3, 4) * sin(x1)"
+    out = sensitivity.sobol(df, ["x1", "x2", "x3"], trees.formula_predictor(text), 13, resamples=40)
+    want = {"x1": (0.3139, 0.5576), "x2": (0.4424, 0.4424), "x3": (0.0, 0.2437)}
+    for r in out.filter("power >= 9").collect():
+        for value, width, true in zip((r["s1"], r["st"]), (r["s1_conf"], r["st_conf"]), want[r["feature"]]):
+            assert 0 < width < 6 / 2 ** (r["power"] / 2) and abs(value - true) < max(1.5 * width, 0.01)
+    last = {r["feature"]: r for r in out.filter("power = 13").collect()}
+    assert all(abs(last[f]["s1"] - a) < 0.01 and abs(last[f]["st"] - b) < 0.01 for f, (a, b) in want.items())
+
+
 def test_directional_impact(spark):
     df = spark.createDataFrame([(0.0, 0.0, 5.0), (1.0, 1.0, 5.0)], "a double, b double, c double")
     curves = sensitivity.response_curves(df, ["a", "b", "c"], trees.formula_predictor("a * a - sqrt(b + 0.01)"))
