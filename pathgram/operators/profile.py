@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,15 +11,13 @@ from pyspark.sql import types as T
 
 from pathgram.functions.columns import col, long_form
 from pathgram.functions.layout import spread
-from pathgram.functions.ordering import exact_quantiles
 from pathgram.operators.moments import pairwise_correlations
 from pathgram.operators.prepare import coerce
+from pathgram.operators.summary import column_summaries, moment_values, quantiles
 
 # An estimate above this proves more than 21 distinct values: d values fill at most d of
 # the sketch's registers, so its estimate for 21 values cannot exceed 22.
 FEW_ESTIMATE = 50
-# Columns estimated below this are counted value by value; their tables stay this small.
-COUNTED_ESTIMATE = 1000
 HIGH_MISSING = 0.2
 
 STATS_SCHEMA = T.StructType([
@@ -79,46 +75,17 @@ def basic_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[float, int]]]:
-    """Sorted (value, count) of columns already known to hold few values; pre-aggregated per task."""
-    if not columns:
-        return {}
-    out: dict[str, list[tuple[float, int]]] = {c: [] for c in columns}
-    cells = long_form(spread(df.select(*[col(c) for c in columns])), list(columns)).filter(F.col("value").isNotNull())
-    for r in cells.groupBy("variable", "value").count().collect():
-        out[r["variable"]].append((r["value"], r["count"]))
-    return {c: sorted(v) for c, v in out.items()}
-
-
-def counted_quantile(counts: list[tuple[float, int]], share: float) -> float | None:
-    """Linear-interpolated quantile of a value-count table."""
-    if not counts:
-        return None
-    ends = list(accumulate(k for _, k in counts))
-    place = (ends[-1] - 1) * share
-    low, part = int(place), place - int(place)
-    a = counts[bisect_right(ends, low)][0]
-    return a + (counts[bisect_right(ends, low + 1)][0] - a) * part if part else a
-
-
 def column_stats(df: DataFrame, columns: Sequence[str], quartiles: bool = True) -> DataFrame:
-    """Everything the report tables need: one small row per column."""
+    """Everything the report tables need: one small row per column, from one scan (two with quartiles)."""
     columns = list(columns)
-    base = {r["variable"]: r for r in basic_stats(df, columns).collect()}
-    limit = COUNTED_ESTIMATE if quartiles else FEW_ESTIMATE
-    counted = value_counts(df, [c for c in columns if base[c]["estimate"] <= limit])
-    few = {c: len(v) for c, v in counted.items()}
-    cuts = {}
-    if quartiles:
-        shares = [0.25, 0.5, 0.75]
-        rest = [c for c in columns if c not in counted]
-        cuts = exact_quantiles(coerce(df, rest), rest, shares)
-        cuts |= {c: [counted_quantile(v, q) for q in shares] for c, v in counted.items()}
+    found = column_summaries(df, columns)
+    cuts = quantiles(df, columns, found, [0.25, 0.5, 0.75]) if quartiles else [[None] * 3] * len(columns)
     rows = []
-    for k, c in enumerate(columns):
-        b = base[c]
-        rows.append((c, k, b["total"], b["n"], b["mean"], b["low"], b["high"], b["sd"], b["skew"], b["kurt"],
-                     b["whole"], few.get(c), *cuts.get(c, [None] * 3)))
+    for k, (c, s) in enumerate(zip(columns, found)):
+        mean, sd, skew, kurt = moment_values(s)
+        low, high, whole = (s.low, s.high, s.whole) if s.n else (None, None, None)
+        few = None if s.many else len(s.given)
+        rows.append((c, k, s.total, s.n, mean, low, high, sd, skew, kurt, whole, few, *cuts[k]))
     return df.sparkSession.createDataFrame(rows, STATS_SCHEMA)
 
 

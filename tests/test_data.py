@@ -1,10 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pathgram.functions import distributions as D
 from pathgram.functions.ordering import exact_quantiles, number_cases, running_total
-from pathgram.operators import prepare, profile, screening
+from pathgram.operators import prepare, profile, screening, summary
 from pathgram.operators.moments import moment_table
 from pathgram.plans.fixtures import SPEC, likert_items
 from pathgram.session import scratch_path
@@ -135,3 +136,57 @@ def test_ranges_of_constant_columns(spark):
     assert [tuple(r) for r in prepare.rescale_percent(df, ["a", "b"]).collect()] == [(0.0, 50.0), (100.0, 50.0)]
     assert prepare.standardise(df, ["a", "b"]).count() == 0
     assert SPEC.chains() == [("Frequency", "Volume", "Value")]
+
+
+def test_summaries_merge_to_those_of_the_whole():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.gamma(2, 1e3, 5000) + 1e7, rng.integers(0, 9, 700), [np.nan] * 31])
+    rng.shuffle(x)
+    parts = [summary.summarise(p) for p in np.array_split(x, 23)] + [summary.summarise(np.array([np.nan])), summary.Summary()]
+    one = summary.combined([summary.combined(parts[:9]), summary.combined(parts[9:])])
+    v = pd.Series(x[~np.isnan(x)])
+    assert (one.total, one.n, one.low, one.high, one.many) == (len(x) + 1, len(v), v.min(), v.max(), True)
+    assert one.whole == bool(((v - v.round()).abs() <= 1e-8 + 1e-5 * v.round().abs()).all())
+    assert np.allclose(summary.moment_values(one), (v.mean(), v.std(), v.skew(), v.kurt()), rtol=1e-9)
+    few = summary.combined([summary.summarise(p) for p in np.array_split(np.arange(3000) % 700 / 2, 11)])
+    assert not few.many and few.given.tolist() == sorted(set((np.arange(700) / 2).tolist())) and few.times.sum() == 3000
+
+
+def jobs(spark, run):
+    """Spark jobs that an action takes."""
+    tracker = spark.sparkContext.statusTracker()
+    name = f"counted-{id(run)}"
+    spark.sparkContext.setJobGroup(name, name)
+    run()
+    found = len(tracker.getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("others", "others")
+    return found
+
+
+def test_quartiles_are_exact_and_jobs_do_not_grow_with_columns(spark, monkeypatch):
+    n, wide = 30_000, 9
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({f"x{k}": np.where(rng.random(n) < 0.1 * (k % 2), np.nan, np.round(rng.normal(size=n) * 10**k, 3)) for k in range(wide)})
+    data["x1"] = np.where(rng.random(n) < 0.4, 7.25, data["x1"])  # ties across a quartile
+    df = spark.createDataFrame(data).repartition(6)
+    names = list(data.columns)
+    got = {r["variable"]: r for r in profile.column_stats(df, names).collect()}
+    for c in names:
+        v = data[c].dropna()
+        assert np.allclose([got[c]["q1"], got[c]["median"], got[c]["q3"]], np.quantile(v, [0.25, 0.5, 0.75]), rtol=1e-12) and got[c]["n"] == len(v)
+    df.persist().count()
+    every, two = (lambda: profile.column_stats(df, names)), (lambda: profile.column_stats(df, names[:2]))
+    assert jobs(spark, every) == jobs(spark, two)
+    df.unpersist()
+    monkeypatch.setattr(summary, "INSIDE", 50)  # brackets that hold too much
+    again = {r["variable"]: r for r in profile.column_stats(df, names[:2]).collect()}
+    assert all(np.allclose([again[c][q] for q in ("q1", "median", "q3")], [got[c][q] for q in ("q1", "median", "q3")], rtol=1e-12) for c in names[:2])
+
+
+def test_statistics_of_awkward_columns(spark):
+    df = spark.createDataFrame([(None, 5.0, "1,5", None), (None, 5.0, "x", 1.0), (float("nan"), 5.0, " 2 ", 3.0)], "a double, b double, c string, d double")
+    got = {r["variable"]: r for r in profile.column_stats(df, ["a", "b", "c", "d"]).collect()}
+    assert (got["a"]["n"], got["a"]["total"], got["a"]["mean"], got["a"]["median"], got["a"]["few"]) == (0, 3, None, None, 0)
+    assert (got["b"]["sd"], got["b"]["skew"], got["b"]["kurt"], got["b"]["few"]) == (0.0, 0.0, None, 1)
+    assert (got["c"]["n"], got["c"]["mean"], got["c"]["median"]) == (2, 1.75, 1.75) and (got["d"]["q1"], got["d"]["whole"]) == (1.5, True)
+    assert profile.column_stats(df.limit(0), ["a", "b"]).collect()[0]["total"] == 0
