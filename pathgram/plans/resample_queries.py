@@ -204,7 +204,17 @@ def welch(spark, sf):
     return rounded(mga(spark, sf).select("label", "t_welch", "df_welch"), 4, df_welch=3)
 
 
-@query("f10_test_p_values")
+def _two_tailed_sql(t: str, df: str, panels: int = 2000) -> str:
+    """Two-tailed p of Student's t: one less the integral of cos(u) ^ (df - 1) up to atan(t / sqrt(df)), by Simpson's rule."""
+    end = f"atan(abs({t}) / sqrt({df}))"
+    inside = (f"list_sum(list_transform(range({panels + 1}), lambda k: (CASE WHEN k = 0 OR k = {panels} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) "
+              f"* power(cos({end} * k / {panels}), {df} - 1))) * {end} / {3 * panels}")
+    return f"1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma(({df}) / 2)) / sqrt(pi()) * {inside}"
+
+
+@query("f10_test_p_values", S.model_sql(
+    f"SELECT label, {r(_two_tailed_sql('t1', 'd1'))} AS p_parametric, {r(_two_tailed_sql('t2', 'd2'))} AS p_welch "
+    f"FROM (SELECT label, {T_PAR} AS t1, (n_a + n_b - 2)::DOUBLE AS d1, {T_WEL} AS t2, {DF_WEL} AS d2 FROM mg)", MGA_SRC, extra=MGA_CTE))
 def p_values(spark, sf):
     return rounded(mga(spark, sf).select("label", "p_parametric", "p_welch"))
 
