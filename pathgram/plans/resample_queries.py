@@ -112,9 +112,44 @@ def percentile_interval(spark, sf):
     return rounded(found.select("metric", "ci_low", "ci_high"))
 
 
-@query("f04_bias_corrected_interval")
+def _two_tailed_sql(t: str, df: str, panels: int = 2000) -> str:
+    """Two-tailed p of Student's t: one less the integral of cos(u) ^ (df - 1) up to atan(t / sqrt(df)), by Simpson's rule."""
+    end = f"atan(abs({t}) / sqrt({df}))"
+    inside = (f"list_sum(list_transform(range({panels + 1}), lambda k: (CASE WHEN k = 0 OR k = {panels} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) "
+              f"* power(cos({end} * k / {panels}), {df} - 1))) * {end} / {3 * panels}")
+    return f"1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma(({df}) / 2)) / sqrt(pi()) * {inside}"
+
+
+def _phi_sql(z: str, panels: int = 400) -> str:
+    """The normal distribution function by Simpson's rule."""
+    return (f"(0.5 + ({z}) / {3 * panels} / sqrt(2 * pi()) * list_sum(list_transform(range({panels + 1}), lambda k: (CASE WHEN k = 0 OR k = {panels} THEN 1 "
+            f"WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(({z}) * k / {panels}, 2) / 2))))")
+
+
+def _probit_sql(p: str) -> str:
+    """Its inverse, by halving steps."""
+    return f"list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(50), lambda j: 4.0 / power(2, j))), lambda x, w: x + CASE WHEN {_phi_sql('x')} < {p} THEN w ELSE -w END)"
+
+
+def _at_sql(share: str) -> str:
+    """Linear-interpolated quantile of the sorted list ``vs`` of n values."""
+    place = f"({share} * (n - 1))"
+    low = f"vs[floor({place})::INT + 1]"
+    return f"{low} + (vs[least(floor({place})::INT + 2, n)] - {low}) * ({place} - floor({place}))"
+
+
+BC_CTE = SUMMARY_CTE + f""",
+sv AS MATERIALIZED (SELECT metric, o, count(v) AS n, stddev_samp(v) AS sd, avg(CASE WHEN v < o THEN 1.0 ELSE 0.0 END) AS below, list_sort(list(v)) AS vs FROM js GROUP BY metric, o),
+sz AS MATERIALIZED (SELECT *, least(greatest(below, 0.5 / n), 1 - 0.5 / n) AS p0 FROM sv),
+sq AS MATERIALIZED (SELECT *, {_probit_sql('p0')} AS z0 FROM sz),
+sh AS MATERIALIZED (SELECT *, {_phi_sql('2 * z0 - 1.959963984540054')} AS s1, {_phi_sql('2 * z0 + 1.959963984540054')} AS s2, abs(o) / sd AS t, (n - 1)::DOUBLE AS df FROM sq)"""
+
+
+@query("f04_bias_corrected_interval", S.model_sql(
+    f"SELECT metric, {r(_at_sql('s1'))} AS bc_low, {r(_at_sql('s2'))} AS bc_high, {r(_two_tailed_sql('t', 'df'))} AS p_value FROM sh", BOTH, extra=BC_CTE))
 def bias_corrected(spark, sf):
-    return rounded(summary(spark, sf).select("metric", "bc_low", "bc_high", "p_value"))
+    found = summary(spark, sf).filter(~F.col("metric").startswith("model_fit"))
+    return rounded(found.select("metric", "bc_low", "bc_high", "p_value"))
 
 
 LABELS = [f"{s} -> {t}" for s, t in SPEC.paths]
@@ -204,14 +239,6 @@ def welch(spark, sf):
     return rounded(mga(spark, sf).select("label", "t_welch", "df_welch"), 4, df_welch=3)
 
 
-def _two_tailed_sql(t: str, df: str, panels: int = 2000) -> str:
-    """Two-tailed p of Student's t: one less the integral of cos(u) ^ (df - 1) up to atan(t / sqrt(df)), by Simpson's rule."""
-    end = f"atan(abs({t}) / sqrt({df}))"
-    inside = (f"list_sum(list_transform(range({panels + 1}), lambda k: (CASE WHEN k = 0 OR k = {panels} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) "
-              f"* power(cos({end} * k / {panels}), {df} - 1))) * {end} / {3 * panels}")
-    return f"1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma(({df}) / 2)) / sqrt(pi()) * {inside}"
-
-
 @query("f10_test_p_values", S.model_sql(
     f"SELECT label, {r(_two_tailed_sql('t1', 'd1'))} AS p_parametric, {r(_two_tailed_sql('t2', 'd2'))} AS p_welch "
     f"FROM (SELECT label, {T_PAR} AS t1, (n_a + n_b - 2)::DOUBLE AS d1, {T_WEL} AS t2, {DF_WEL} AS d2 FROM mg)", MGA_SRC, extra=MGA_CTE))
