@@ -46,10 +46,8 @@ BITS = (64, 1 << 16)
 #: Classes that one tree holds, and children of a tree node.
 BLOCK = 512
 FAN = 8
-#: Rounds in which the two most central members of each block are compared with the rest of it.
-STARS = 1
-#: Representatives (three numbers each) up to which their rows are picked by a broadcast.
-CHOSEN_ROWS = 400_000
+#: Rounds in which two members of each block (first the most central ones, then others) are compared with the rest of it.
+STARS = 2
 
 
 def _slices(batch: pa.RecordBatch, column: str, size: int = 512) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -307,13 +305,14 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(placed.join(mixed, "block"), "join-open")
 
 
-def _star(placed: DataFrame) -> DataFrame:
+def _star(placed: DataFrame, turn: int = 0) -> DataFrame:
     """For each block the pairs (a, b) of one member with all members of other components.
 
     The member is the most central one outside the component of the block's most central one; in a block
-    without links that is the second most central, so both of them are paired.
+    without links that is the second most central, so both of them are paired. Later turns take other members, by hash.
     """
-    head = F.max(F.struct("score", "node", "root"))
+    rank = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("score")
+    head = F.max(F.struct(rank, "node", "root"))
     first = placed.groupBy("block").agg(head.alias("first"))
     others = placed.join(first, "block").filter("root <> first.root")
     second = others.groupBy("block").agg(head.alias("second"))
@@ -339,13 +338,13 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     same = classes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), F.col("code").alias("__code"))
     match = (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("code") == F.col("__code"))
     maps = materialise(rows.join(same, match, "left_semi").dropDuplicates(["node"]).select("node", "n", "bits"), "join-maps")
-    entries = materialise(prefixes(_texts(docs, small(classes, CHOSEN_ROWS)), width, percent, levels.tobytes()), "join-prefixes")
+    entries = materialise(prefixes(_texts(docs, classes), width, percent, levels.tobytes()), "join-prefixes")
 
     tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
     tokens = materialise(tokens.filter("low <> high"), "join-tokens")
     two = tokens.filter("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     many = materialise(tokens.filter("members > 2").select("token", "members", "low"), "join-many")
-    every = materialise(entries.join(small(many, CHOSEN_ROWS), "token"), "join-entries")
+    every = materialise(entries.join(many, "token"), "join-entries")
     discard(entries)
     # Tokens with the same members need looking at once.
     mark = F.xxhash64("node")
@@ -358,9 +357,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     pairs = materialise(two.distinct(), "join-pairs")
     discard(every, many, tokens)
     links = confirm(screen(pairs, maps, percent), classes, docs, width, percent)
-    for _ in range(STARS):
+    for turn in range(STARS):
         open_blocks = _open(members, links)
-        star = _star(open_blocks).join(pairs, ["a", "b"], "left_anti")
+        star = _star(open_blocks, turn).join(pairs, ["a", "b"], "left_anti")
         star = materialise(star, "join-star")
         links = materialise(links.union(confirm(screen(star, maps, percent), classes, docs, width, percent)), "join-links")
         pairs = materialise(pairs.union(star), "join-pairs")
