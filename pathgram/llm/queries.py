@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathgram.llm.common import load
@@ -102,10 +102,15 @@ def op3_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def base_count(kind: int) -> Column:
+    """Base spans of a kind. The function takes one argument only: Spark would pass the place in the array as a second."""
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
 @query("op4_context_pii")
 def op4_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find_personal_data(load(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [base_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     base, every = spelled(F.col("base")), spelled(F.concat("base", "added"))
     return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
 

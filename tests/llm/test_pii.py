@@ -6,6 +6,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pathgram.llm import queries
 from pathgram.llm.pii import KINDS, find_base, find_personal_data, luhn, spelled
 
 PLAIN = {
@@ -80,3 +81,14 @@ def test_empty_and_repeated(spark):
     rows = sorted((str(r.doc_id), r.s) for r in find_personal_data(df).select("doc_id", spelled("base").alias("s")).collect())
     assert rows == [("1", "email:0:6"), ("1", "email:0:6"), ("None", "ip:2:9")]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_query_counts_every_base_span_by_kind(spark, tmp_path):
+    """Also with several kinds in a text, in any order."""
+    texts = ["a@b.cd", "1.2.3.4 then a@b.cd and c@d.ef", "+1 (505) 555-1000 or 4111 1111 1111 1111", "x 4111111111111111, 10.0.0.1, me@home.org, +44 20 7946 0958", None, "none"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries.QUERIES["op4_context_pii"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        spans = plain(text or "")
+        assert [rows[k][f"n_{name}"] for name in KINDS] == [sum(s[0] == kind for s in spans) for kind in range(len(KINDS))]
+        assert rows[k].base_sha256 == hashlib.sha256(",".join(f"{KINDS[a]}:{b}:{c}" for a, b, c in spans).encode()).hexdigest()
