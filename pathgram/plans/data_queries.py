@@ -26,6 +26,11 @@ def cases(spark, sf):
     return materialise(customer_indicators(spark, sf), "cases")
 
 
+def complete(spark, sf):
+    """The cases that have every indicator, as in the SQL; customers without orders or lines are left out."""
+    return materialise(customer_indicators(spark, sf).dropna(subset=SPEC.indicators), "cases")
+
+
 def likert(spark, sf):
     return materialise(likert_items(customer_indicators(spark, sf)), "items")
 
@@ -304,7 +309,7 @@ def corrected_moments(spark, sf):
     f"SELECT '{c}' AS variable, (SELECT count(*) FROM complete, st WHERE variable = '{c}' AND abs({c} - mean) / sd > 3.29) AS z_outliers"
     for c in COLS))
 def z_outliers(spark, sf):
-    df = cases(spark, sf)
+    df = complete(spark, sf)
     return SC.outlier_counts(df, PR.column_stats(df, COLS)).select("variable", "z_outliers")
 
 
@@ -314,7 +319,7 @@ def z_outliers(spark, sf):
     f"(SELECT count(*) FROM complete, st WHERE variable = '{c}' AND ({c} < q1 - 3 * (q3 - q1) OR {c} > q3 + 3 * (q3 - q1))) AS iqr_severe"
     for c in COLS))
 def iqr_outliers(spark, sf):
-    df = cases(spark, sf)
+    df = complete(spark, sf)
     return SC.outlier_counts(df, PR.column_stats(df, COLS)).select("variable", "iqr_mild", "iqr_severe")
 
 
@@ -378,7 +383,7 @@ def strongest_pair(spark, sf):
        "FROM st, (SELECT 'passed' AS test, 0.2 AS p UNION ALL SELECT 'edge', 0.05 UNION ALL SELECT 'failed', 0.001 UNION ALL SELECT 'not tested', NULL)")
 def normality_verdict(spark, sf):
     """The rule for every outcome of the test, which has its own query."""
-    stats = PR.column_stats(cases(spark, sf), SPEC.indicators, quartiles=False)
+    stats = PR.column_stats(complete(spark, sf), SPEC.indicators, quartiles=False)
     outcomes = F.array(*[F.struct(F.lit(n).alias("test"), F.lit(p).cast("double").alias("p")) for n, p in (
         ("passed", 0.2), ("edge", 0.05), ("failed", 0.001), ("not tested", None))])
     stats = stats.withColumn("o", F.explode(outcomes))
