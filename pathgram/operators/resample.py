@@ -230,7 +230,9 @@ def histogram(samples: DataFrame, keys: list[str], value: str = "value", bins: i
 
 
 def bootstrap_histograms(samples: DataFrame) -> DataFrame:
-    wanted = samples.filter(F.col("metric").isin("path", "specific", "total_indirect", "total"))
+    """Samples are written first: their sums may differ in the last digit when computed again, and the ends of the
+    bins must belong to the very values that are counted."""
+    wanted = materialise(samples.filter(F.col("metric").isin("path", "specific", "total_indirect", "total")), "samples")
     return histogram(wanted, ["metric", "label"])
 
 
