@@ -178,30 +178,35 @@ def predict_cases(df: DataFrame, spec: ModelSpec, case_id: str, folds: int = 10,
     return source.mapInArrow(score, schema)
 
 
-def holdout(cases: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
+def holdout(cases: DataFrame, pairs: Sequence[tuple[str, str, str]], skip_zeros: bool = True) -> DataFrame:
     """(name, rmse, mae, mape, q2) for (name, actual column, predicted column); one scan.
 
-    The baseline of q2 is the mean of the actual values that are scored.
+    The baseline of q2 is the mean of the actual values that are scored. Actual values of zero are left out of mape;
+    without ``skip_zeros`` they count as in IEEE division, so one of them makes mape infinite (NaN for zero by zero).
     """
     long = cases.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("name"), col(a).alias("actual"), col(p).alias("predicted")) for n, a, p in pairs
     ]))).filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull() & ~F.isnan("predicted"))
     error = F.col("actual") - F.col("predicted")
     spread_ = F.var_pop("actual") * F.count(F.lit(1))
+    by_zero = F.when(error == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    share = F.when(F.col("actual") != 0, F.abs(error / F.when(F.col("actual") != 0, F.col("actual")))).otherwise(by_zero)
+    if skip_zeros:
+        share = F.when(F.abs("actual") > 1e-12, share)
     return long.groupBy("name").agg(
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
-        (F.avg(F.when(F.abs("actual") > 1e-12, F.abs(error / F.col("actual")))) * 100).alias("mape"),
+        (F.avg(share) * 100).alias("mape"),
         F.when(spread_ > 0, 1 - F.sum(error * error) / spread_).alias("q2_predict"),
     )
 
 
-def indicator_metrics(cases: DataFrame, spec: ModelSpec) -> DataFrame:
-    return holdout(cases, [(i, i, f"pls_{i}") for i in outputs(spec).endo_items])
+def indicator_metrics(cases: DataFrame, spec: ModelSpec, skip_zeros: bool = True) -> DataFrame:
+    return holdout(cases, [(i, i, f"pls_{i}") for i in outputs(spec).endo_items], skip_zeros)
 
 
-def benchmark_metrics(cases: DataFrame, spec: ModelSpec) -> DataFrame:
-    return holdout(cases, [(i, i, f"lm_{i}") for i in outputs(spec).endo_items])
+def benchmark_metrics(cases: DataFrame, spec: ModelSpec, skip_zeros: bool = True) -> DataFrame:
+    return holdout(cases, [(i, i, f"lm_{i}") for i in outputs(spec).endo_items], skip_zeros)
 
 
 def construct_metrics(cases: DataFrame, spec: ModelSpec) -> DataFrame:
