@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathgram.functions.columns import col, long_form
+from pathgram.functions.columns import col, long_form, numeric
 from pathgram.functions.layout import spread
 from pathgram.operators.moments import pairwise_correlations
 from pathgram.operators.prepare import coerce
@@ -179,17 +182,46 @@ def grouping_columns(df: DataFrame, columns: Sequence[str], least: int = 2, most
 def extremes(df: DataFrame, case_id: str, columns: Sequence[str], k: int = 5) -> DataFrame:
     """The k lowest and highest values per column with their cases.
 
-    The rank filter is pushed below the shuffle as a per-partition limit, so only
-    k rows per column and partition travel.
+    One scan: every task keeps k rows a column and side, only those are sorted. Equal values go by case, as in the
+    ranking itself, so what a task drops is never among the first k.
     """
-    cells = long_form(df, list(columns), [case_id]).filter(F.col("value").isNotNull())
-    low = W.partitionBy("variable").orderBy(F.col("value").asc(), F.col(case_id).asc())
-    high = W.partitionBy("variable").orderBy(F.col("value").desc(), F.col(case_id).desc())
-
-    def ranked(window, side):
-        return (
-            cells.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-            .select("variable", F.lit(side).alias("side"), "rank", "value", F.col(case_id).alias("case_id"))
-        )
-
-    return ranked(low, "low").unionByName(ranked(high, "high"))
+    columns = list(columns)
+    source = df.select(col(case_id).alias("case_id"), *[numeric(df, c).alias(f"c{n}") for n, c in enumerate(columns)])
+    kind = source.schema["case_id"].dataType
+    schema = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("side", T.StringType()),
+                           T.StructField("value", T.DoubleType()), T.StructField("case_id", kind)])
+
+    def first(table: pa.Table, side: str) -> pa.Table:
+        if table.num_rows <= k:
+            return table
+        order = "ascending" if side == "low" else "descending"
+        given = table.append_column("given", pc.is_valid(table["case_id"]).cast(pa.int8()))  # no case comes before all cases
+        return table.take(pc.select_k_unstable(given, k, [("value", order), ("given", order), ("case_id", order)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], pa.Table] = {}
+        for batch in batches:
+            for n in range(len(columns)):
+                value = batch.column(1 + n)
+                there = pa.table({"value": value, "case_id": batch.column(0)}).filter(pc.is_valid(value))
+                for side in ("low", "high"):
+                    x = there
+                    if x.num_rows > k:  # what lies beyond the k-th value of this batch cannot be among the first k
+                        values = x["value"].to_numpy()
+                        if side == "low":
+                            x = x.filter(pa.array(values <= np.partition(values, k - 1)[k - 1]))
+                        else:
+                            x = x.filter(pa.array(values >= np.partition(values, len(values) - k)[len(values) - k]))
+                    seen = held.get((n, side))
+                    held[n, side] = first(x if seen is None else pa.concat_tables([seen, x]), side)
+        for (n, side), t in held.items():
+            if t.num_rows:
+                t = t.combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array([n] * t.num_rows, pa.int32()), pa.array([side] * t.num_rows), *[t[c].chunk(0) for c in ("value", "case_id")]],
+                                                 names=["position", "side", "value", "case_id"])
+
+    near = source.mapInArrow(run, schema)
+    up, down = (F.when(F.col("side") == side, F.struct("value", "case_id")) for side in ("low", "high"))
+    place = W.partitionBy("position", "side").orderBy(up.asc(), down.desc())
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("position") + 1)
+    return near.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(name.alias("variable"), "side", "rank", "value", "case_id")
