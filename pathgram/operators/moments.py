@@ -257,13 +257,14 @@ def replicated_parts(
     case_id: str,
     columns: Sequence[str],
     replicates: int,
-    weigher: Weigher,
+    weigher: Weigher | str,
     derive: Callable[[np.ndarray, int], np.ndarray] | None = None,
     width: int | None = None,
 ) -> DataFrame:
     """Partial weighted moments per (task, replicate).
 
-    ``weigher(ids, replicate numbers)`` gives the weight matrix of a batch. All
+    ``weigher(ids, replicate numbers)`` gives the weight matrix of a batch; it may also name a
+    binary column of 32-bit counts by replicate. All
     replicates of a batch come from one matrix product with the packed row
     products, so a row is read once however many replicates there are.
     ``derive`` maps (rows, replicate) to replicate-specific columns instead.
@@ -276,7 +277,9 @@ def replicated_parts(
         slices = [(s, min(s + per_scan, replicates)) for s in range(0, replicates, per_scan)]
     else:
         slices = [(0, replicates)]
-    source = spread(df.select(F.col(f"`{case_id}`").cast("long").alias("case_id"), *[_double(c) for c in columns]))
+    counted = isinstance(weigher, str)
+    given = [F.col(f"`{weigher}`")] if counted else []
+    source = spread(df.select(F.col(f"`{case_id}`").cast("long").alias("case_id"), *[_double(c) for c in columns], *given))
     schema = T.StructType(REPLICATE_FIELDS)
 
     def job(first: int, last: int):
@@ -295,7 +298,11 @@ def replicated_parts(
                 x_all = _matrix(batch, 1, len(columns))
                 for at in range(0, len(ids_all), step):
                     ids, x = ids_all[at:at + step], x_all[at:at + step]
-                    w = weigher(ids, numbers)
+                    if counted:
+                        drawn = batch.column(1 + len(columns)).slice(at, len(ids))
+                        w = np.stack([np.frombuffer(c.as_buffer(), np.uint32)[first:last] for c in drawn]).astype(float)
+                    else:
+                        w = weigher(ids, numbers)
                     if derive is None:
                         if shift is None:
                             shift = x.mean(axis=0)

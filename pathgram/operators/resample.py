@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from pathgram.functions.columns import col
 from pathgram.functions.distributions import student_tail
-from pathgram.functions.draws import exact_counts
+from pathgram.functions.draws import BLOCK_CASES, deal, exact_counts
 from pathgram.functions.hashing import poisson_array
 from pathgram.functions.layout import small_side
 from pathgram.functions.ordering import number_cases
@@ -29,7 +29,7 @@ BINS = 24
 SAMPLE_SCHEMA = T.StructType([T.StructField("replicate", T.LongType())] + METRIC_FIELDS)
 
 
-def replicate_metrics(df: DataFrame, spec: ModelSpec, case_id: str, replicates: int, weigher: Weigher,
+def replicate_metrics(df: DataFrame, spec: ModelSpec, case_id: str, replicates: int, weigher: Weigher | str,
                       settings: FitSettings, wanted: tuple[str, ...] | None = None,
                       sum_scores: bool = False) -> DataFrame:
     """(replicate, metric, source, target, label, value) for every weighting of the same rows.
@@ -99,7 +99,7 @@ def bootstrap_samples(df: DataFrame, spec: ModelSpec, case_id: str, replicates:
     Each case gets a Poisson(1) weight per replicate, drawn from (case, replicate,
     seed), so no replicate needs to know the others' rows and nothing is gathered.
     With ``exact`` every replicate has as many draws as there are cases: cases are numbered in the
-    order of their key (unique), and counts are split down a tree over the numbers.
+    order of their key (unique), and draw i takes case hash(i, replicate) mod the number of cases.
     """
     spec.check(df.columns)
     table, _ = prepare(df, spec.indicators, settings.missing, keep=[case_id])
@@ -107,10 +107,10 @@ def bootstrap_samples(df: DataFrame, spec: ModelSpec, case_id: str, replicates:
     if exact:
         table = materialise(number_cases(table, case_id), "numbered")
         n = table.count()
-        return replicate_metrics(
-            table, spec, "case_number", replicates, lambda ids, numbers: exact_counts(ids - 1, numbers, n, seed),
-            settings, wanted, sum_scores,
-        )
+        weigher = lambda ids, numbers: exact_counts(ids - 1, numbers, n, seed)
+        if n > BLOCK_CASES:
+            table, weigher = materialise(deal(table, "case_number", n, replicates, seed, "drawn"), "drawn"), "drawn"
+        return replicate_metrics(table, spec, "case_number", replicates, weigher, settings, wanted, sum_scores)
     return replicate_metrics(
         table, spec, case_id, replicates, lambda ids, numbers: poisson_array(ids, numbers, seed),
         settings, wanted, sum_scores,

@@ -87,3 +87,33 @@ def test_extremes_need_one_scan(spark, tmp_path):
             top = here.sort_values([c, "id"], ascending=up).head(5)
             want |= {(c, side, k + 1): (v, i) for k, (v, i) in enumerate(zip(top[c], top["id"]))}
     assert got == want
+
+
+@pytest.mark.parametrize("n, block", [(5000, None), (700, 64)])
+def test_exact_draws_of_many_blocks_are_those_of_the_sql(spark, n, block):
+    """Every replicate draws n times from all n cases, not block by block."""
+    from pathgram.functions.draws import DRAW_STREAM, deal
+    from pathgram.functions.hashing import lane_array
+
+    table = spark.range(1, n + 1).toDF("number").repartition(5)
+    found = {r.number: np.frombuffer(r.w, np.uint32) for r in deal(table, "number", n, 4, 11, "w", block).collect()}
+    place = lane_array(np.arange(n), np.arange(4), 11 + DRAW_STREAM) % n
+    want = np.stack([np.bincount(place[:, k], minlength=n) for k in range(4)], axis=1)
+    assert len(found) == n and all((found[k + 1] == want[k]).all() for k in range(n))
+
+
+def test_exact_bootstrap_beyond_one_block(spark):
+    from pathgram.functions.draws import DRAW_STREAM
+    from pathgram.functions.hashing import lane_array
+    from pathgram.spec import FitSettings, ModelSpec
+
+    n = 4200  # more than a block
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=n)
+    y = 0.6 * x + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n) * 3, "x": x, "y": y}))
+    spec = ModelSpec(constructs={"X": ["x"], "Y": ["y"]}, paths=[("X", "Y")])
+    found = {r.replicate: r.value for r in RS.bootstrap_samples(df, spec, "id", 3, exact=True).filter("metric = 'path'").collect()}
+    place = lane_array(np.arange(n), np.arange(3), FitSettings().seed + DRAW_STREAM) % n
+    for k in range(3):
+        assert found[k] == pytest.approx(np.corrcoef(x[place[:, k]], y[place[:, k]])[0, 1], abs=1e-9)
