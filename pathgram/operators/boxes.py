@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,10 @@ from pathgram.operators.boosting import Forest
 
 #: Numbers that one step of the attribution holds at a time.
 STEP_CELLS = 4_000_000
+#: Cells of a tree, and numbers of all tables, up to which attributions are looked up.
+TREE_CELLS, TABLE_NUMBERS = 4096, 8_000_000
+#: Rows x trees x numbers that one step of the look-up holds; they stay in the cache.
+LOOK_UP = 400_000
 
 
 @dataclass
@@ -34,6 +38,9 @@ class Boxes:
         """The first leaf of each tree."""
         return np.flatnonzero(np.diff(self.tree, prepend=-1))
 
+    def of(self, leaves: np.ndarray) -> Boxes:
+        return replace(self, **{n: getattr(self, n)[leaves] for n in ("tree", "value", "feature", "low", "high", "share")})
+
     @property
     def expected(self) -> float:
         """Prediction with no feature known."""
@@ -98,6 +105,68 @@ def attributions(boxes: Boxes, x: np.ndarray, features: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Cells:
+    """What ``attributions`` gives, worked out once per tree for every cell between that tree's cuts."""
+
+    cuts: list[np.ndarray]  # of each feature, over all trees
+    place: list[np.ndarray]  # of each feature: places between its cuts x trees, what it adds to the place in the table
+    table: np.ndarray  # cells of all trees x (phi of each feature, value)
+    base: float
+    rest: Boxes  # trees with too many cells
+
+    def look_up(self, x: np.ndarray) -> np.ndarray:
+        """rows x (phi of each feature, prediction); values must not be missing."""
+        width = len(self.cuts)
+        out = np.zeros((len(x), width + 1))
+        trees = self.place[0].shape[1]
+        step = max(1, LOOK_UP // max(1, trees * (width + 1)))
+        for at in range(0, len(x) if trees else 0, step):
+            part = x[at : at + step]
+            spot = sum(place[np.searchsorted(cuts, part[:, f], side="right")] for f, (cuts, place) in enumerate(zip(self.cuts, self.place)))
+            out[at : at + step] = self.table.take(spot, axis=0).sum(axis=1)
+        if len(self.rest.value):
+            out += _worked_out(self.rest, x, width)
+        out[:, width] += self.base
+        return out
+
+
+def _worked_out(boxes: Boxes, x: np.ndarray, width: int) -> np.ndarray:
+    """rows x (phi of each feature, sum of the values of the leaves that a row reaches), from the boxes themselves."""
+    value = np.zeros(len(x))
+    step = max(1, STEP_CELLS // max(1, boxes.feature.size))
+    for at in range(0, len(x), step):
+        v = x[at : at + step][:, boxes.feature]
+        value[at : at + step] = ((v >= boxes.low) & (v < boxes.high)).all(axis=2) @ boxes.value
+    return np.column_stack([attributions(boxes, x, width), value])
+
+
+def cells_of_trees(boxes: Boxes, width: int, most: int = TREE_CELLS) -> Cells:
+    """Tables of all trees that have up to ``most`` cells; a row's cell follows from the places of its values between the cuts."""
+    finite = lambda v: v[np.isfinite(v)]
+    cuts = [np.unique(finite(np.concatenate([boxes.low[boxes.feature == f], boxes.high[boxes.feature == f]]))) for f in range(width)]
+    starts = [np.concatenate([[-np.inf], c]) for c in cuts]
+    tables, places, rest, used = [], [[] for _ in range(width)], [], 0
+    for leaves in np.split(np.arange(len(boxes.tree)), boxes.starts[1:]):
+        tree = boxes.of(leaves)
+        own = [np.unique(finite(np.concatenate([tree.low[tree.feature == f], tree.high[tree.feature == f]]))) for f in range(width)]
+        sizes = np.array([len(c) + 1 for c in own], float)
+        if sizes.prod() > most or (used + sizes.prod()) * (width + 1) > TABLE_NUMBERS:
+            rest.append(leaves)
+            continue
+        grid = np.meshgrid(*[np.concatenate([[-np.inf], c]) for c in own], indexing="ij")
+        tables.append(_worked_out(tree, np.stack([g.ravel() for g in grid], axis=1), width))
+        stride = 1
+        for f in reversed(range(width)):
+            first = used if f == width - 1 else 0
+            places[f].append(np.searchsorted(own[f], starts[f], side="right") * stride + first)
+            stride *= len(own[f]) + 1
+        used += len(tables[-1])
+    place = [np.stack(p, axis=1).astype(np.int32) if p else np.zeros((len(s), 0), np.int32) for p, s in zip(places, starts)]
+    table = np.concatenate(tables) if tables else np.zeros((0, width + 1))
+    return Cells(cuts, place, table, boxes.base, boxes.of(np.concatenate(rest) if rest else np.zeros(0, np.int64)))
+
+
 def tree_shapley(df: DataFrame, forest: Forest, case_id: str) -> DataFrame:
     """(case_id, prediction, baseline, feature, value, phi); phi sums to prediction - baseline.
 
@@ -105,11 +174,17 @@ def tree_shapley(df: DataFrame, forest: Forest, case_id: str) -> DataFrame:
     """
     boxes = leaf_boxes(forest)
     width = len(forest.features)
+    tables = cells_of_trees(boxes, width)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def explain(*columns: pd.Series) -> pd.Series:
         x = np.stack([c.to_numpy(dtype=float) for c in columns], axis=1)
-        return pd.Series(list(np.column_stack([attributions(boxes, x, width), forest.score(x)])))
+        out = np.empty((len(x), width + 1))
+        gone = np.isnan(x).any(axis=1)
+        out[~gone] = tables.look_up(x[~gone])
+        if gone.any():
+            out[gone] = np.column_stack([attributions(boxes, x[gone], width), forest.score(x[gone])])
+        return pd.Series(list(out))
 
     cells = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"_x{k}").alias("value"), F.col("_phi")[k].alias("phi"))
