@@ -78,3 +78,19 @@ def test_sums_on_the_driver_or_merged_by_the_executors(spark, monkeypatch):
     (one, errors), (two, again) = forests
     assert (one.feature == two.feature).all() and (one.cut == two.cut).all()
     assert np.allclose(one.value, two.value, rtol=1e-9) and np.allclose(errors, again, rtol=1e-9)
+
+
+def test_grid_runs_without_a_pass_for_each_level(spark, monkeypatch):
+    """Tables of many blocks: the grid's models are dealt to tasks, with the same scores as by passes over blocks."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 2))
+    rows = [(k, float(a), float(b), float(a * b + a), k % 4 - 1) for k, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double, fold int").repartition(5)
+    points = [BO.Settings(d, 0.3, t, s, 1.0, 1.0) for d in (1, 3) for t in (2, 4) for s in (0.8, 1.0)]
+    plain = BO.Booster.__init__
+    monkeypatch.setattr(BO.Booster, "__init__", lambda self, *a, **k: plain(self, *a, **k, block=100, batch=4))
+    monkeypatch.setattr(BO, "ALONE", 10)
+    by_block = BO.search_grid(df, ["a", "b"], "y", "id", points, 3, 42, 16)
+    monkeypatch.setattr(BO, "ALONE", 1000)
+    monkeypatch.setattr(BO, "Booster", None)
+    assert np.allclose(BO.search_grid(df, ["a", "b"], "y", "id", points, 3, 42, 16), by_block)
