@@ -7,7 +7,7 @@ to is found in three steps, none of which lists all pairs of a block:
 
 * Blocks of two are candidate pairs. In larger blocks every class is first paired with the most central one,
   and with the most central one that is not linked to it.
-* Confirmed links give components; blocks that lie within one component are done.
+* Confirmed links give components; members that meet no other component of about their size in a block are done.
 * In the blocks that are left, classes go into a signature tree. A node holds the OR of its
   members' token bitmaps, their range of sizes and their fewest bits. Two trees are traversed
   together: a pair of nodes is dropped when its sizes are too far apart, or when the largest overlap
@@ -24,6 +24,7 @@ empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +89,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                 n, node, bits = [], [], []
                 for values in shingle_sets(texts, width):
                     n.append(len(values))
-                    node.append(xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63))
+                    node.append(_node(values))
                     bits.append(bitmap(values).tobytes())
                     np.add.at(counts, _slot(values), 1)
                     tokens += len(values)
@@ -108,28 +109,37 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return materialise(rows.mapInArrow(task, schema), "join-described")
 
 
-def prefixes(rows: DataFrame, width: int, percent: int, levels: bytes) -> DataFrame:
-    """The prefix shingles of representative rows (node, text): token, node, n."""
+def _node(values: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63)
+
+
+def prefixes(docs: DataFrame, width: int, percent: int, levels: bytes) -> DataFrame:
+    """The prefix shingles of every class: token, node, n.
+
+    Sets are made from all texts where they lie, and prefixes are shuffled, as texts are several times as long.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels, np.uint8)
         for batch in batches:
-            for part, texts in _slices(batch, "text"):
-                nodes = np.array(part["node"].to_pylist(), np.int64)
-                tokens, sizes = [], []
+            for _, texts in _slices(batch, "text"):
+                nodes, sizes, tokens = [], [], []
                 for values in shingle_sets(texts, width):
                     n = len(values)
-                    keep = n - -(-percent * n // 100) + 1 if n else 0
-                    sizes.append((n, keep))
+                    if not n:
+                        continue
                     rank = level[_slot(values)]
                     spread = mix(values)  # slots use the upper bits, so order by fresh ones
-                    best = np.lexsort((spread, rank))[:keep]
+                    best = np.lexsort((spread, rank))[: n - -(-percent * n // 100) + 1]
+                    nodes.append(_node(values))
+                    sizes.append(n)
                     tokens.append(values[best])
-                n, keep = np.array(sizes, np.int64).reshape(-1, 2).T
+                ends = np.cumsum([0, *map(len, tokens)], dtype=np.int32)
                 flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(nodes, keep)), pa.array(np.repeat(n, keep).astype(np.int32))], names=["token", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "n", "tokens"])
 
-    return rows.select("node", "text").mapInArrow(task, "token long, node long, n int")
+    rows = docs.select(whole("text").alias("text")).mapInArrow(task, "node long, n int, tokens array<long>")
+    return rows.dropDuplicates(["node"]).select(F.explode("tokens").alias("token"), "node", "n")
 
 
 class Tree:
@@ -298,26 +308,34 @@ def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(chosen, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__code") == F.col("code"))).select("node", "text")
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members, with their roots, of the blocks that lie in more than one component."""
+def _open(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Members, with their roots, that may still link to another component of their block, going by sizes.
+
+    Sizes fall into bands in which similar sets are at most one apart. Who drops out stays out, as components only grow.
+    """
     placed = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("block").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("block")
-    return materialise(placed.join(mixed, "block"), "join-open")
+    step = math.log(100 / percent) + 1e-3  # a little more than the ratio, so rounding cannot put a pair two apart
+    placed = placed.withColumn("band", F.floor(F.log("n") / step).cast("int"))
+    spans = placed.groupBy("block", "band").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    around = spans.select("block", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "r1", "r2")
+    mixed = around.groupBy("block", "band").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).filter("r1 <> r2").select("block", "band")
+    return materialise(placed.join(mixed, ["block", "band"]).drop("band"), "join-open")
 
 
-def _star(placed: DataFrame, turn: int = 0) -> DataFrame:
-    """For each block the pairs (a, b) of one member with all members of other components.
+def _star(placed: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+    """For each block the pairs (a, b) of one member with all members of other components whose sizes allow a link.
 
     The member is the most central one outside the component of the block's most central one; in a block
     without links that is the second most central, so both of them are paired. Later turns take other members, by hash.
     """
     rank = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("score")
-    head = F.max(F.struct(rank, "node", "root"))
+    head = F.max(F.struct(rank, "node", "root", "n"))
     first = placed.groupBy("block").agg(head.alias("first"))
     others = placed.join(first, "block").filter("root <> first.root")
     second = others.groupBy("block").agg(head.alias("second"))
     both = placed.join(first.join(second, "block"), "block")
-    both = both.select("node", "root", F.explode(F.array("first", "second")).alias("head")).filter("root <> head.root")
+    both = both.select("node", "root", "n", F.explode(F.array("first", "second")).alias("head")).filter("root <> head.root")
+    both = both.filter(100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n"))
     return both.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
 
 
@@ -338,7 +356,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     same = classes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), F.col("code").alias("__code"))
     match = (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("code") == F.col("__code"))
     maps = materialise(rows.join(same, match, "left_semi").dropDuplicates(["node"]).select("node", "n", "bits"), "join-maps")
-    entries = materialise(prefixes(_texts(docs, classes), width, percent, levels.tobytes()), "join-prefixes")
+    entries = materialise(prefixes(docs, width, percent, levels.tobytes()), "join-prefixes")
 
     tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
     tokens = materialise(tokens.filter("low <> high"), "join-tokens")
@@ -352,21 +370,24 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     blocks = marks.groupBy("members", "mark", "mark2", "low").agg(F.min("token").alias("token")).select("token")
     # Who shares most of its prefix stands in the middle of its family.
     scores = every.groupBy("node").agg(F.count(F.lit(1)).alias("score"))
-    members = every.join(blocks, "token", "left_semi").join(scores, "node").select(F.col("token").alias("block"), "members", "node", "score")
+    members = every.join(blocks, "token", "left_semi").join(scores, "node").select(F.col("token").alias("block"), "members", "node", "n", "score")
     members = materialise(members, "join-members")
     pairs = materialise(two.distinct(), "join-pairs")
     discard(every, many, tokens)
     links = confirm(screen(pairs, maps, percent), classes, docs, width, percent)
+    open_blocks = members
     for turn in range(STARS):
-        open_blocks = _open(members, links)
-        star = _star(open_blocks, turn).join(pairs, ["a", "b"], "left_anti")
+        before, open_blocks = open_blocks, _open(open_blocks.drop("root"), links, percent)
+        discard(before)
+        star = _star(open_blocks, percent, turn).join(pairs, ["a", "b"], "left_anti")
         star = materialise(star, "join-star")
         links = materialise(links.union(confirm(screen(star, maps, percent), classes, docs, width, percent)), "join-links")
         pairs = materialise(pairs.union(star), "join-pairs")
-        discard(star, open_blocks)
+        discard(star)
 
     chunks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_blocks = _open(members, links)
+    before, open_blocks = open_blocks, _open(open_blocks.drop("root"), links, percent)
+    discard(before)
     placed = open_blocks.withColumn("mine", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     placed = placed.select("block", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "root")
     more = tree_pairs(placed.join(maps, "node"), percent).join(pairs, ["a", "b"], "left_anti")
@@ -378,7 +399,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     named = materialise(named.select("node", "root").join(smallest, "root").select("node", "component_id", "root"), "join-named")
     linked = rows.filter("n > 0").join(named, "node").select("doc_id", "code", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
     result = materialise(linked.union(rows.filter("n = 0").select("doc_id", "code", F.lit(0).cast("long"), "doc_id", F.lit(None).cast("long"))), "join-result")
-    discard(described, classes, maps, members, pairs, links, named, open_blocks)
+    discard(described, classes, maps, pairs, links, named, open_blocks)
     return result
 
 

@@ -151,3 +151,29 @@ def test_components_of_chains_and_stars(spark):
     assert all(found[i] == -5 for i in range(1, 41))
     assert all(found[100 + i] == 100 for i in range(1, 30))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_of_unlike_sizes_never_get_their_bitmaps(spark, monkeypatch):
+    """A line that short and long documents share makes one block; only sizes within the percentage are screened."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(words) for _ in range(10))
+    texts = [line + " " + " ".join(rng.choice(words) for _ in range(k)) for k in [3, 4, 5, 3, 30, 31, 90, 95, 300, 310, 900, 905, 2700] for _ in range(3)]
+    rows = list(enumerate(texts))
+    plain, seen = ngram_join.screen, []
+
+    def screen(pairs, maps, percent):
+        n = {r.node: r.n for r in maps.collect()}
+        seen.extend((n[r.a], n[r.b]) for r in pairs.collect())
+        return plain(pairs, maps, percent)
+
+    monkeypatch.setattr(ngram_join, "screen", screen)
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    assert collected(ngram_components(docs, 4, 85)) == brute(rows, 4, 85)
+    assert seen and all(100 * min(p) >= 85 * max(p) for p in seen)
+
+
+def test_prefixes_come_once_a_class(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = ngram_join.prefixes(docs.union(docs), 4, 85, bytes(ngram_join.COUNTERS))
+    assert found.columns == ["token", "node", "n"] and found.count() == found.distinct().count()
