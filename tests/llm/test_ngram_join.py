@@ -177,3 +177,66 @@ def test_prefixes_come_once_a_class(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     found = ngram_join.prefixes(docs.union(docs), 4, 85, bytes(ngram_join.COUNTERS))
     assert found.columns == ["token", "node", "n"] and found.count() == found.distinct().count()
+
+
+def test_shingles_frequent_over_all_tasks_come_last(spark, monkeypatch):
+    """A line that every task meets a few times only is in no prefix of documents with enough shingles of their own."""
+    line = " ".join(f"common{i}" for i in range(8))
+    texts = [f"{line} " + " ".join(f"own{d}x{i}" for i in range(60)) for d in range(100)]
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in enumerate(texts)], SCHEMA).repartition(25)
+    plain, shared = ngram_join.prefixes, []
+
+    def prefixes(*args, **kinds):
+        found = plain(*args, **kinds)
+        shared.append(found.groupBy("token").count().filter("count > 2").count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "prefixes", prefixes)
+    assert collected(ngram_components(docs, 4, 85)) == brute(list(enumerate(texts)), 4, 85)
+    assert shared == [0]
+
+
+def test_only_rows_that_reach_another_get_bitmaps(spark, monkeypatch):
+    """Documents of one size share lines; most shared shingles come too late in a prefix to be the first that a similar pair shares."""
+    rng = random.Random(6)
+    lines = [" ".join(f"l{k}w{i}" for i in range(5)) for k in range(12)]
+    texts = [" ".join([*rng.sample(lines, 4), *(f"own{d}x{i}" for i in range(rng.randint(60, 90)))]) for d in range(40)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[:3]]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(ngram_join, "levels", lambda *_: bytes(ngram_join.COUNTERS), raising=False)
+    plain, seen, blocks = ngram_join.tree_pairs, [], []
+    open_plain = ngram_join._open
+
+    def tree_pairs(df, percent):
+        seen.append(df.count())
+        return plain(df, percent)
+
+    def _open(members, links, percent):
+        out = open_plain(members, links, percent)
+        blocks.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "tree_pairs", tree_pairs)
+    monkeypatch.setattr(ngram_join, "_open", _open)
+    docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    assert collected(ngram_components(docs, 4, 85)) == brute(rows, 4, 85)
+    assert seen[-1] < 0.8 * blocks[-1]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_reach_loses_no_similar_pair(spark, percent):
+    rng = random.Random(8)
+    base = rng.sample(range(4000), 120)
+    sets = []
+    for _ in range(80):
+        own = set(base[: rng.randint(20, 120)]) | {rng.randrange(4000) for _ in range(rng.randint(0, 25))}
+        sets.append(sorted(own))
+    firsts = []
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = set(x) & set(y)
+            if both and 100 * len(both) >= percent * (len(x) + len(y) - len(both)):
+                first = min(both)
+                firsts += [(len(x), x.index(first), len(y)), (len(y), y.index(first), len(x))]
+    df = spark.createDataFrame(firsts, "n int, at int, other int").withColumn("reach", ngram_join.reach(percent))
+    assert firsts and df.filter("other > reach").count() == 0
