@@ -93,3 +93,14 @@ def test_final_model_of_a_grid_needs_no_passes(spark, monkeypatch):
         assert forest.features == want.features and np.isclose(forest.base, want.base)
         assert (forest.feature == want.feature).all() and (forest.cut == want.cut).all()
         assert all(np.allclose(getattr(forest, n), getattr(want, n)) for n in ("value", "cover", "gain"))
+
+
+def test_chunks_and_wide_bins_do_not_matter(monkeypatch):
+    ids, bins, y, fold = some_rows(700, 2)
+    bins[:, :350] = bins[:, 350:700]
+    run = some_run(bins, y, 0.7, 4)
+    (_, whole, _), = BO._grow_points(BO.Points.of(ids, bins, y, fold, run.seed), run, [5])
+    monkeypatch.setattr(BO, "CHUNK", 37)
+    (_, pieces, _), = BO._grow_points(BO.Points.of(ids, bins, y, fold, run.seed), run, [5])
+    (_, wide, _), = BO._grow_points(BO.Points.of(ids, bins.astype(np.int32), y, fold, run.seed), run, [5])
+    assert np.allclose(pieces, whole) and np.allclose(wide, whole)
