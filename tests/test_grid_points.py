@@ -5,6 +5,7 @@ Nodes of a few points may be cut alike by two features, with gains that differ b
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from pathgram.operators import boosting as BO
@@ -104,3 +105,15 @@ def test_chunks_and_wide_bins_do_not_matter(monkeypatch):
     (_, pieces, _), = BO._grow_points(BO.Points.of(ids, bins, y, fold, run.seed), run, [5])
     (_, wide, _), = BO._grow_points(BO.Points.of(ids, bins.astype(np.int32), y, fold, run.seed), run, [5])
     assert np.allclose(pieces, whole) and np.allclose(wide, whole)
+
+
+def test_partitions_without_models(spark, monkeypatch):
+    """A session may deal the models to more partitions than there are batches."""
+    df = spark.range(300).select("id", (F.col("id") * 7 % 23).cast("double").alias("a"), (F.col("id") * 7 % 23 + F.col("id") % 5).cast("double").alias("y"),
+                                 (F.col("id") % 3).cast("int").alias("fold"))
+    points = [BO.Settings(d, 0.3, 3, 0.8, 1.0, 1.0) for d in (1, 2)]
+    whole = BO.search_grid(df, ["a"], "y", "id", points, 3, 42, 16)
+    plain = RDD.partitionBy
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, parts, *a, **k: plain(self, max(parts, 40), *a, **k))
+    assert np.allclose(BO.search_grid(df, ["a"], "y", "id", points, 3, 42, 16), whole)
+    assert BO.fit_point(df, ["a"], "y", "id", points[1], 42, 16).depth == 2
